@@ -5,7 +5,9 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import zipfile
 from collections.abc import Callable, Iterator
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -75,5 +77,19 @@ def text_udf(per_text: Callable, schema: str, arrow_type: pa.StructType) -> Call
     return run.asNondeterministic()
 
 
+def ship(spark: SparkSession) -> None:
+    """Give executors this package through Spark's own file server, once a context."""
+    context, root = spark.sparkContext, Path(__file__).resolve().parent.parent
+    if getattr(context, "_palimpsest_shipped", False):
+        return
+    kept = Path(tempfile.mkdtemp(prefix="palimpsest-ship-")) / "palimpsest.zip"
+    with zipfile.ZipFile(kept, "w") as z:
+        for p in sorted(root.rglob("*.py")):
+            z.write(p, Path(root.name) / p.relative_to(root))
+    context.addPyFile(str(kept))
+    context._palimpsest_shipped = True
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))

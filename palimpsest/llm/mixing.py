@@ -56,7 +56,7 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: float =
     s = s.withColumn("left", F.col("total") - F.coalesce(F.sum("most").over(before), F.lit(0.0)))
     # the first source in this order that keeps below its cap fixes the level
     here = F.col("left") / F.col("w_left")
-    s = s.withColumn("level", F.min(F.when(here * F.col("w") <= F.col("most"), here)).over(all_rows))
+    s = s.withColumn("level", F.first(F.when(here * F.col("w") <= F.col("most"), here), ignorenulls=True).over(by_cap.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
     target = F.when(F.col("level").isNull(), F.col("most")).otherwise(F.least(F.col("most"), F.col("w") * F.col("level")))
     return s.select("source", "source_size", target.alias("target"))
 

@@ -208,17 +208,18 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """(doc_id, fp, component_id) for each row of ``docs``."""
     own = docs.select(F.col(f"`{id_col}`").alias("doc_id"), fingerprint_column(F.col(f"`{text_col}`"), width).alias("fp"))
     own = materialize(own, "simhash-prints")
-    return label_components(own, radius, bucket_rows)
+    return label_components(own, radius, bucket_rows).select("doc_id", "fp", "component_id")
 
 
 def label_components(own: DataFrame, radius: int = 4, bucket_rows: int = 8192) -> DataFrame:
-    """component_id for rows (doc_id, fp, ...): the smallest doc_id reachable."""
+    """component_id, the smallest doc_id reachable, and root, a fingerprint that
+    names the component, for rows (doc_id, fp, ...)."""
     nodes = materialize(own.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-nodes")
     roots = join_components(links(nodes.select("fp"), radius, bucket_rows), "simhash-components")
     linked = nodes.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     linked = materialize(linked, "simhash-roots")
     least = linked.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = linked.join(least, "root").select(F.col("fp").alias("of"), "component_id")
+    named = linked.join(least, "root").select(F.col("fp").alias("of"), "component_id", "root")
     return own.join(named, F.col("fp") == F.col("of")).drop("of")
 
 
@@ -232,7 +233,7 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     slim = own.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{fp}`").alias("fp"))
     named = label_components(slim.groupBy("fp").agg(F.min("doc_id").alias("doc_id")), radius, bucket_rows)
     # of a component, the fingerprint that holds its smallest id; the least one among ties
-    best = named.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "fp")).alias("x"))
+    best = named.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "fp")).alias("x"))
     best = best.select(F.col("x.doc_id").alias("keep_id"), F.col("x.fp").alias("keep_fp"))
     same = F.col(f"`{id_col}`").eqNullSafe(F.col("keep_id")) & (F.col(f"`{fp}`") == F.col("keep_fp"))
     kept = own.join(best, same)
