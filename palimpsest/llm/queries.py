@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm import mixing, quality, simhash
+import public_tokenizers
+
+from palimpsest.llm import mixing, quality, rule_ensemble, sentencepiece_codec, simhash, token_counts
 from palimpsest.llm._shared import table
 
 
@@ -19,11 +21,31 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every whole text and whether they decode to it."""
+    return sentencepiece_codec.encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rule_ensemble.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
     return mixing.mix(docs).select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES = {"op2_quality_rules": op2_quality_rules, "op3_simhash": op3_simhash, "op8_mixing": op8_mixing}
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+QUERIES = {
+    "op2_quality_rules": op2_quality_rules,
+    "op3_simhash": op3_simhash,
+    "op4_sentencepiece": op4_sentencepiece,
+    "op6_quality_classifier": op6_quality_classifier,
+    "op8_mixing": op8_mixing,
+    "op9_token_counts": op9_token_counts,
+}
 
 ORACLE: dict[str, str] = {}
