@@ -7,10 +7,14 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from palimpsest.llm import mixing, quality, rule_ensemble, sentencepiece_codec, simhash, token_counts
+from palimpsest.llm import audio, mixing, quality, rule_ensemble, secrets_crf, sentencepiece_codec, simhash, token_counts, url_rules, warc
 from palimpsest.llm._shared import table
 
 
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = quality.quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "score")
@@ -26,10 +30,19 @@ def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_codec.encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op5_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    media = audio.audio_documents(table(spark, sf_dir, "documents"))
+    return media.select("doc_id", audio.digest_column(F.col("media"), F.col("n_bytes")).alias("x")).select("doc_id", "x.*")
+
+
 def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rule_ensemble.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op7_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_rules.filter_urls(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"))
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
     return mixing.mix(docs).select("doc_id", "size", "source_size", "target", "taken")
@@ -39,13 +52,21 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets_crf.scan(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
+    "op1_warc": op1_warc,
     "op2_quality_rules": op2_quality_rules,
     "op3_simhash": op3_simhash,
     "op4_sentencepiece": op4_sentencepiece,
+    "op5_audio": op5_audio,
     "op6_quality_classifier": op6_quality_classifier,
+    "op7_url_filters": op7_url_filters,
     "op8_mixing": op8_mixing,
     "op9_token_counts": op9_token_counts,
+    "op10_secrets": op10_secrets,
 }
 
 ORACLE: dict[str, str] = {}
