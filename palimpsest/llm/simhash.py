@@ -226,17 +226,31 @@ def label_components(own: DataFrame, radius: int = 4, bucket_rows: int = 8192) -
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 4,
                 bucket_rows: int = 8192) -> DataFrame:
     """The rows of ``docs`` with one of each component: that of the smallest id.
-    Of repeated rows with that id one stays; rows without an id stay only where
-    their component has no id, one of them."""
-    fp = fresh_name(docs.columns, "fp")
-    own = materialize(docs.withColumn(fp, fingerprint_column(F.col(f"`{text_col}`"))), "simhash-docs")
-    slim = own.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{fp}`").alias("fp"))
+    Of rows with that id and several fingerprints the least one stays, of
+    repeated rows one; rows without an id stay only where their component has no
+    id, one of them. Texts are read twice and shuffled once."""
+    ids, text = F.col(f"`{id_col}`"), F.col(f"`{text_col}`")
+    slim = docs.select(ids.alias("doc_id"), fingerprint_column(text).alias("fp"), F.xxhash64(text).alias("h"))
+    slim = materialize(slim, "simhash-prints")
     named = label_components(slim.groupBy("fp").agg(F.min("doc_id").alias("doc_id")), radius, bucket_rows)
     # of a component, the fingerprint that holds its smallest id; the least one among ties
     best = named.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "fp")).alias("x"))
     best = best.select(F.col("x.doc_id").alias("keep_id"), F.col("x.fp").alias("keep_fp"))
-    same = F.col(f"`{id_col}`").eqNullSafe(F.col("keep_id")) & (F.col(f"`{fp}`") == F.col("keep_fp"))
-    kept = own.join(best, same)
-    nth = fresh_name(kept.columns, "nth")
-    one = Window.partitionBy(F.col(f"`{fp}`"), F.col("keep_id")).orderBy(F.xxhash64(F.col(f"`{text_col}`")))
-    return kept.withColumn(nth, F.row_number().over(one)).filter(f"{nth} = 1").select(*[F.col(f"`{c}`") for c in docs.columns])
+    held = slim.join(best, F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("fp") == F.col("keep_fp")))
+    held = held.groupBy("keep_id", "fp").agg(F.min("h").alias("keep_h"), F.count(F.lit(1)).alias("rows"))
+    held = materialize(held.select("keep_id", "keep_h", "rows"), "simhash-kept")
+    names = {c: fresh_name(docs.columns, c) for c in ("keep_id", "keep_h")}
+    same = ids.eqNullSafe(F.col(names["keep_id"])) & (F.xxhash64(text) == F.col(names["keep_h"]))
+
+    def rows_of(kept: DataFrame) -> DataFrame:
+        # dealt in one way at every size: the kept ids grow with the documents
+        side = kept.select(*[F.col(c).alias(n) for c, n in names.items()]).hint("shuffle_hash")
+        return docs.join(side, same)
+
+    once = rows_of(held.filter("rows = 1")).select(*[F.col(f"`{c}`") for c in docs.columns])
+    if held.filter("rows > 1").isEmpty():
+        return once
+    nth = fresh_name([*docs.columns, *names.values()], "nth")
+    one = Window.partitionBy(names["keep_id"], names["keep_h"]).orderBy(F.lit(1))
+    more = rows_of(held.filter("rows > 1")).withColumn(nth, F.row_number().over(one)).filter(f"{nth} = 1")
+    return once.unionByName(more.select(*[F.col(f"`{c}`") for c in docs.columns]))
