@@ -130,6 +130,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     deals them by id to meet their labels; one row a bucket comes back."""
     good = labels.filter(F.col(f"`{label_col}`").isNotNull() & F.col(f"`{id_col}`").isNotNull())
     good = good.groupBy(F.col(f"`{id_col}`").alias("label_id")).agg(F.max(f"`{label_col}`").alias("q")).filter("q = 1").select("label_id")
+    # labels grow with the documents, so they are dealt in one way at every size
+    good = good.hint("shuffle_hash")
     rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text")).filter("text IS NOT NULL")
     rows = rows.join(good, F.col("id") == F.col("label_id"), "left").select("text", F.col("label_id").isNotNull().alias("trusted"))
     sums = rows.mapInArrow(_count(bits), "bucket int, raw long, target long").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target"))
