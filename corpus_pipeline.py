@@ -50,10 +50,8 @@ def sentencepiece_encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     """Token ids of each text, and whether they decode to it."""
     ship(spark)
     path = public_tokenizers.path("piece_bpe_32k.model")
-    rows = docs.select("doc_id", "lang", "source", F.coalesce("text", F.lit("")).alias("text"))
-    rows = rows.withColumn("ids", sentencepiece_codec.encode_column(F.col("text"), path))
-    rows = rows.withColumn("decoded", sentencepiece_codec.decode_column(F.col("ids"), path))
-    return rows.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", (F.col("decoded") == F.col("text")).alias("round_trip"))
+    rows = docs.select("doc_id", "lang", "source", sentencepiece_codec.checked_column(F.col("text"), path).alias("x"))
+    return rows.select("doc_id", "lang", "source", F.size("x.ids").cast("long").alias("n_tokens"), "x.ids", "x.round_trip")
 
 
 STAGES = [

@@ -16,15 +16,18 @@ import heapq
 import ahocorasick
 
 #: Entries a memo holds before it turns over; two generations are kept.
-MEMO = 250_000
+MEMO = 160_000
+#: A pair of pieces is one integer, which the garbage collector need not visit.
+PAIR_BITS = 20
 
 
 class Memo:
     """A bounded memo: when it is full it becomes the old generation, and what
-    is asked for again moves on. ``young`` is open to callers for fast lookups."""
+    is asked for again moves on. Keys over ``longest`` characters (0: no bound) are
+    not kept, so its bytes are bounded too. ``young`` is open to callers for fast lookups."""
 
-    def __init__(self, make, size: int = MEMO):
-        self.make, self.size, self.young, self.old = make, size, {}, {}
+    def __init__(self, make, size: int = MEMO, longest: int = 0):
+        self.make, self.size, self.longest, self.young, self.old = make, size, longest, {}, {}
 
     def __call__(self, key):
         value = self.young.get(key)
@@ -32,12 +35,32 @@ class Memo:
             value = self.old.get(key)
             if value is None:
                 value = self.make(key)
+                if self.longest and len(key) > self.longest:
+                    return value
             if len(self.young) >= self.size:
                 self.old, self.young = self.young, {}
             self.young[key] = value
         return value
 
 
+    def clear(self) -> None:
+        self.young, self.old = {}, {}
+
+
+_holder: list = [None]
+
+
+def claim(owner):
+    """Give the worker's memory to one operator: of the one that ran here before,
+    the memos are emptied. ``owner.memos()`` lists them."""
+    if _holder[0] is not owner:
+        if _holder[0] is not None:
+            for memo in _holder[0].memos():
+                memo.clear()
+        _holder[0] = owner
+    return owner
+
+
 class Merges:
     """A merge vocabulary: symbols, and the rank of the merge that makes each.
 
@@ -50,17 +73,17 @@ class Merges:
         for (a, b), (rank, made) in sorted(pairs.items(), key=lambda x: x[1]):
             if self.rank[made] < 0:
                 self.rank[made], self.parts[made] = rank, (a, b)
-        self._apart = Memo(self._stay_apart, 400_000)
+        self._apart = Memo(self._stay_apart, 100_000)
 
     def apart(self, left: int, right: int) -> bool:
-        return self._apart((left, right))
+        return self._apart(left << PAIR_BITS | right)
 
-    def _stay_apart(self, pair: tuple[int, int]) -> bool:
+    def _stay_apart(self, pair: int) -> bool:
         """Whether two adjacent pieces, each the encoding of its own text, are
         the encoding of the text of both. Undo their merges, latest first; if at
         some moment the symbols at the cut would have merged before the later of
         the merges undone so far, they don't stay apart."""
-        left, right = pair
+        left, right = pair >> PAIR_BITS, pair & (1 << PAIR_BITS) - 1
         limit = (1 << 60, 0)  # rank of the merge just undone, and whether it was to the right
         while True:
             met = self.pairs.get((left, right))
@@ -124,7 +147,7 @@ def last_pieces(auto: ahocorasick.Automaton, merges: Merges, text: str) -> tuple
         if start == 0:
             last[end], count[end] = x, 1
         elif count[start] > 0:
-            pair = (last[start], x)
+            pair = last[start] << PAIR_BITS | x
             ok = young.get(pair)
             if ok is None:
                 ok = apart(pair)

@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from palimpsest.llm._shared import fresh_name, materialize, texts
-from palimpsest.llm.bpe import Memo
+from palimpsest.llm.bpe import Memo, claim
 
 #: Fixed values of the contract.
 ASSIGN = re.compile(r"""(?ai:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
@@ -176,11 +176,14 @@ class Tagger:
     def __init__(self, model: Field):
         self.model = model
         self.by_shape: dict[tuple, tuple] = {}
-        self.memo = Memo(self._contributions)
+        self.memo = Memo(self._contributions, longest=64)
         m = model.moves
         self.lead = 2 * float(m.max() - m.min()) + 1e-9
         self.rows: dict[tuple, int] = {}
 
+    def memos(self) -> list[Memo]:
+        return [self.memo]
+
     def _contributions(self, word: bytes) -> int:
         key = shape(word)
         row = self.by_shape.get(key)
@@ -407,7 +410,7 @@ def _tagger(model: Field) -> Tagger:
     if key not in _taggers:
         _taggers.clear()
         _taggers[key] = Tagger(model)
-    return _taggers[key]
+    return claim(_taggers[key])
 
 
 def scan_column(text: Column, model: Field) -> Column:

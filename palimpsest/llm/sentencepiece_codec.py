@@ -21,14 +21,16 @@ space mark (U+2581) itself, which decodes to a space as in the library.
 from __future__ import annotations
 
 import re
+from array import array
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from palimpsest.llm._shared import texts
-from palimpsest.llm.bpe import Memo, Merges, automaton, best_pieces, last_pieces, trace
+from palimpsest.llm.bpe import PAIR_BITS, Memo, Merges, automaton, best_pieces, claim, last_pieces, trace
 
 MARK = "▁"
 #: Latin letters: vocabularies seldom join them with anything else, which is tested on loading.
@@ -77,7 +79,8 @@ class Codec:
             raise ValueError("a piece holds the space mark inside a word")
         words = f"[{LETTERS}]+|[^{LETTERS}{MARK}]+"
         self.cut = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+" if mixed else f"{MARK}*(?:{words})|{MARK}+")
-        self.memo = Memo(self._chunk)
+        self.memo = Memo(self._chunk, longest=64)
+        self.spelled = self._spell()
 
     def _first_merges(self, own, pairs, ranks):
         """Pieces that merging itself makes: with several ways to spell a piece
@@ -129,71 +132,97 @@ class Codec:
         return self.merges._apart.young
 
     def __call__(self, pair):
-        if not self.reach.get(pair[1]):
+        if not self.reach.get(pair & (1 << PAIR_BITS) - 1):
             return False
         return self.merges._apart(pair)
 
-    def _chunk(self, chunk: str) -> tuple[int, ...]:
+    def _chunk(self, chunk: str) -> bytes:
+        """Ids of a chunk as 32-bit integers, so that a text's ids are one join."""
         out: list[int] = []
         if self.chars.issuperset(chunk):
-            return tuple(self._known(chunk))
-        start = 0
-        for i, c in enumerate(chunk):
-            if c not in self.chars:
-                if i > start:
-                    out += self._known(chunk[start:i])
-                out += [self.byte_ids[b] for b in c.encode("utf-8", "surrogatepass")] if self.byte_ids else [self.unknown]
-                start = i + 1
-        return tuple(out + (self._known(chunk[start:]) if start < len(chunk) else []))
-
-    def encode(self, text: str | None) -> list[int]:
-        """Ids of a whole text, without begin or end."""
+            out = self._known(chunk)
+        else:
+            start = 0
+            for i, c in enumerate(chunk):
+                if c not in self.chars:
+                    if i > start:
+                        out += self._known(chunk[start:i])
+                    out += [self.byte_ids[b] for b in c.encode("utf-8", "surrogatepass")] if self.byte_ids else [self.unknown]
+                    start = i + 1
+            if start < len(chunk):
+                out += self._known(chunk[start:])
+        return array("i", out).tobytes()
+
+    def encode_array(self, text: str | None) -> np.ndarray:
+        """Ids of a whole text, without begin or end, as int32."""
         if not text:
-            return []
+            return np.empty(0, np.int32)
         chunks = self.cut.findall(self.prefix + text.replace(" ", MARK))
-        memo, young, out = self.memo, self.memo.young, []
-        for chunk in chunks:
-            ids = young.get(chunk)
-            if ids is None:
-                ids, young = memo(chunk), memo.young
-            out += ids
-        return out
+        found = list(map(self.memo.young.get, chunks))
+        if None in found:
+            memo = self.memo
+            found = [memo(chunk) if ids is None else ids for chunk, ids in zip(chunks, found)]
+        return np.frombuffer(b"".join(found), np.int32)
 
-    def decode(self, ids: list[int] | None) -> str:
-        """Text of a sequence of ids; bytes that are no UTF-8 become U+FFFD."""
-        out = self._join(ids or [])
+    def encode(self, text: str | None) -> list[int]:
+        return self.encode_array(text).tolist()
+
+    def decode_array(self, ids: np.ndarray) -> str:
+        """Text of int32 ids; bytes that are no UTF-8 become U+FFFD."""
+        if not len(ids):
+            return ""
+        starts, lens, data = self.spelled
+        size = lens[ids]
+        ends = np.cumsum(size)
+        place = np.repeat(starts[ids] - ends + size, size) + np.arange(ends[-1])
+        out = data[place].tobytes().decode("utf-8", "replace")
         return out[1:] if self.prefix and out.startswith(" ") else out
 
-    def _join(self, ids: list[int]) -> str:
-        pieces, byte_of, control = self.pieces, self.byte_of, self.control
-        if byte_of.keys().isdisjoint(ids) and control.isdisjoint(ids):
-            return "".join(map(pieces.__getitem__, ids)).replace(MARK, " ")
-        out, held = [], bytearray()
-        for x in ids:
-            if x in byte_of:
-                held.append(byte_of[x])
-                continue
-            if held:
-                out.append(held.decode("utf-8", "replace"))
-                held = bytearray()
-            if x not in control:
-                out.append(" ⁇ " if x == self.unknown else pieces[x].replace(MARK, " "))
-        return "".join([*out, held.decode("utf-8", "replace")])
+    def decode(self, ids: list[int] | None) -> str:
+        return self.decode_array(np.array(ids or [], np.int32))
+
+    def memos(self) -> list[Memo]:
+        return [self.memo, *([self.merges._apart] if self.is_bpe else [])]
+
+    def _spell(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(start, length, bytes) of what each id decodes to."""
+        out = []
+        for i, p in enumerate(self.pieces):
+            if i in self.byte_of:
+                out.append(bytes([self.byte_of[i]]))
+            elif i in self.control:
+                out.append(b"")
+            else:
+                out.append(" \u2047 ".encode() if i == self.unknown else p.replace(MARK, " ").encode())
+        lens = np.array([len(x) for x in out], np.int64)
+        return np.cumsum(lens) - lens, lens, np.frombuffer(b"".join(out), np.uint8)
 
 
 @lru_cache(maxsize=2)
-def codec(path: str) -> Codec:
+def _load(path: str) -> Codec:
     with open(path, "rb") as f:
         return Codec(f.read())
 
 
+def codec(path: str) -> Codec:
+    """The codec of a model file, loaded once a worker."""
+    return claim(_load(path))
+
+
+def _lists(arrays: list[np.ndarray]) -> pa.Array:
+    """Arrow lists of 32-bit integers."""
+    ends = np.cumsum([0, *map(len, arrays)]).astype(np.int32)
+    values = np.concatenate(arrays) if arrays else np.empty(0, np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(values))
+
+
 def encode_column(text: Column, path: str) -> Column:
     """array<int> of ids; empty for null."""
 
     @F.arrow_udf("array<int>")
     def run(col: pa.Array) -> pa.Array:
         c = codec(path)
-        parts = [pa.array([c.encode(t) for t in part], pa.list_(pa.int32())) for part in texts(col)]
+        parts = [_lists([c.encode_array(t) for t in part]) for part in texts(col)]
         return pa.concat_arrays(parts) if parts else pa.array([], pa.list_(pa.int32()))
 
     return run.asNondeterministic()(text)
@@ -204,16 +233,33 @@ def decode_column(ids: Column, path: str) -> Column:
 
     @F.arrow_udf("string")
     def run(col: pa.Array) -> pa.Array:
-        c = codec(path)
-        parts = [pa.array([c.decode(t) for t in part], pa.string()) for part in texts(col)]
-        return pa.concat_arrays(parts) if parts else pa.array([], pa.string())
+        c, out = codec(path), []
+        for k in range(len(col)):
+            own = col[k].values
+            out.append("" if own is None else c.decode_array(own.to_numpy(zero_copy_only=False)))
+        return pa.array(out, pa.string())
 
     return run.asNondeterministic()(ids)
 
 
+def checked_column(text: Column, path: str) -> Column:
+    """Struct (ids, round_trip): the ids of each whole text, and whether decoding
+    them gives it back. Both happen in one pass, so ids are not sent out and in again."""
+
+    @F.arrow_udf("ids array<int>, round_trip boolean")
+    def run(col: pa.Array) -> pa.Array:
+        c, ids, same = codec(path), [], []
+        for part in texts(col):
+            own = [c.encode_array(t) for t in part]
+            same += [c.decode_array(x) == (t or "") for x, t in zip(own, part)]
+            ids.append(_lists(own))
+        lists = pa.concat_arrays(ids) if ids else pa.array([], pa.list_(pa.int32()))
+        return pa.StructArray.from_arrays([lists, pa.array(same, pa.bool_())], names=["ids", "round_trip"])
+
+    return run.asNondeterministic()(text)
+
+
 def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_tokens, ids, round_trip) of every row: ids decode to the text."""
-    out = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
-    out = out.withColumn("ids", encode_column(F.col("text"), path))
-    out = out.withColumn("decoded", decode_column(F.col("ids"), path))
-    return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", (F.col("decoded") == F.col("text")).alias("round_trip"))
+    out = docs.select(F.col(f"`{id_col}`").alias("doc_id"), checked_column(F.col(f"`{text_col}`"), path).alias("x"))
+    return out.select("doc_id", F.size("x.ids").cast("long").alias("n_tokens"), "x.ids", "x.round_trip")

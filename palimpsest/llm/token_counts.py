@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from palimpsest.llm._shared import texts
-from palimpsest.llm.bpe import Memo, Merges, automaton, last_pieces, trace
+from palimpsest.llm.bpe import Memo, Merges, automaton, claim, last_pieces
 
 
 def byte_letters() -> list[str]:
@@ -73,8 +73,8 @@ class Counter:
         self.pieces = {p.replace(self.end, self.mark) if p.endswith(self.end) else p: i for p, i in vocab.items() if (i in usable or i in base)}
         self.auto = automaton(self.pieces)
         self.letters = letter
-        self.memo = Memo(self._count)
-        self.tables = Memo(self._table, 20_000)
+        self.memo = Memo(self._count, longest=64)
+        self.tables = Memo(self._table, 20_000, longest=64)
 
     def _spell(self, word: str) -> str:
         if word.isascii():
@@ -119,15 +119,18 @@ class Counter:
             total += len(parts) - 1
         else:
             parts = [text]
-        memo, young = self.memo, self.memo.young
         for part in parts:
-            for word in self._cut(self.normal(part)):
-                n = young.get(word)
-                if n is None:
-                    n, young = memo(word), memo.young
-                total += n
+            words = self._cut(self.normal(part))
+            found = list(map(self.memo.young.get, words))
+            if None in found:
+                memo = self.memo
+                found = [memo(word) if n is None else n for word, n in zip(words, found)]
+            total += sum(found)
         return total
 
+    def memos(self) -> list[Memo]:
+        return [self.memo, self.tables, self.merges._apart]
+
     def prefixes(self, text: str | None) -> PrefixCounts:
         return PrefixCounts(self, text or "")
 
@@ -164,9 +167,12 @@ class PrefixCounts:
         return self.starts[at] + max(fits)
 
 
-@lru_cache(maxsize=2)
+_load = lru_cache(maxsize=2)(Counter)
+
+
 def counter(path: str) -> Counter:
-    return Counter(path)
+    """The counter of a tokenizer file, loaded once a worker."""
+    return claim(_load(path))
 
 
 def token_counts_column(text: Column, path: str) -> Column:
