@@ -11,8 +11,8 @@ dealt to one task and sorted there; a run of up to ``bucket_rows`` fingerprints
 is linked by a breadth-first search that compares a fingerprint with those not
 reached yet and returns the links of a spanning forest, never all pairs. A
 longer run is returned whole instead and enters the tables of a second family,
-restricted to that bucket, so each level halves the free bits until buckets are
-short. Components are then joined by repeated min-label steps over distinct
+restricted to that bucket: there two masks leave at most ``FREE_BITS`` bits free,
+which bounds a run whatever the corpus is. Components are then joined by repeated min-label steps over distinct
 links, each step written to the shared folder.
 
 Defined results: a null or empty text has no words and the fingerprint zero,
@@ -37,6 +37,8 @@ from pyspark.sql.window import Window
 from palimpsest.llm._shared import fresh_name, materialize, texts
 
 BITS = 64
+#: Most bits that a mask of the first and one of the second family leave free.
+FREE_BITS = 22
 #: Shingles whose bits are counted at a time: 64 MB of bytes.
 CHUNK = 1 << 16
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
@@ -160,22 +162,20 @@ def _link_runs(radius: int, bucket_rows: int):
 def links(prints: DataFrame, radius: int = 4, bucket_rows: int = 8192) -> DataFrame:
     """Distinct links (a, b) between the distinct fingerprints of ``prints`` (fp
     long) whose components are those of all pairs within the radius."""
-    spark = prints.sparkSession
-    level, todo, found = 0, prints.select("fp", F.lit("").alias("path")), None
-    while True:
+    todo, found = prints.select("fp", F.lit("").alias("path")), None
+    for level, most in enumerate((bucket_rows, 1 << FREE_BITS)):
         masks = covering_masks(radius, level)
         keys = F.array(*[F.col("fp").bitwiseAND(F.lit(m)) for m in masks])
         rows = todo.select("fp", "path", F.posexplode(keys).alias("table", "key"))
         rows = rows.select(F.concat_ws(":", "path", F.col("table").cast("string")).alias("path"), "key", "fp")
         dealt = rows.repartition("path", "key").sortWithinPartitions("path", "key")
-        made = materialize(dealt.mapInArrow(_link_runs(radius, bucket_rows), "a long, b long, path string"), "simhash-links")
+        made = materialize(dealt.mapInArrow(_link_runs(radius, most), "a long, b long, path string"), "simhash-links")
         new = made.filter("b IS NOT NULL").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
         found = new if found is None else found.unionByName(new)
         todo = made.filter("b IS NULL").select(F.col("a").alias("fp"), "path")
-        level += 1
-        # at ten levels masks keep all bits, and distinct values part
-        if level >= 10 or todo.isEmpty():
-            return materialize(found.distinct(), "simhash-links")
+        if todo.isEmpty():
+            break
+    return materialize(found.distinct(), "simhash-links")
 
 
 def join_components(edges: DataFrame, label: str = "components") -> DataFrame:
