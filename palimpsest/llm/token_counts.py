@@ -38,6 +38,39 @@ def byte_letters() -> list[str]:
     return [chr(b if b in own else next(rest)) for b in range(256)]
 
 
+#: Planes that hold letters; code points above are in no class.
+CLASSED = range(0x80, 0x40000)
+
+
+def ranges(points: list[int]) -> str:
+    """Code points in order as the inside of a regex set."""
+    spans: list[list[int]] = []
+    for c in points:
+        if spans and spans[-1][1] == c - 1:
+            spans[-1][1] = c
+        else:
+            spans.append([c, c])
+    return "".join(f"\\U{a:08X}-\\U{b:08X}" for a, b in spans)
+
+
+def unicode_classes(path: str) -> tuple[str, str, dict[int, str]]:
+    """Sets of letters and numbers as the library has them, and lower-case forms
+    that Python lacks. Unicode tables differ by version in code points that
+    Python's table leaves unassigned; for those the library itself is asked."""
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(path)
+    split, normal = t.pre_tokenizer.pre_tokenize_str, t.normalizer.normalize_str
+    asked = [c for c in CLASSED if not 0xD800 <= c < 0xE000 and unicodedata.category(chr(c)) == "Cn"]
+    classed = [c for c in asked if len(split(f"!{chr(c)}")) > 1]
+    letters = [c for c in classed if len(split(f"a{chr(c)}")) == 1]
+    numbers = sorted(set(classed) - set(letters))
+    lower = {c: low for c in asked if (low := normal(chr(c))) != chr(c)}
+    unsure = ranges(asked)
+    sets = [rf"[[\p{{{k}}}--[{unsure}]]" + (f"||[{ranges(own)}]]" if own else "]") for k, own in (("L", letters), ("N", numbers))]
+    return *sets, lower
+
+
 class Counter:
     """Counts of a word-end byte-pair tokenizer file."""
 
@@ -52,7 +85,11 @@ class Counter:
         self.end = model["end_of_word_suffix"]
         self.special = [t["content"] for t in spec["added_tokens"] if t["special"] and not t["normalized"]]
         self.split_special = regex.compile("|".join(map(regex.escape, self.special))) if self.special else None
-        self.words = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"], regex.V1)
+        pattern = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
+        if pattern != r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+":
+            raise ValueError("unknown words")
+        letters, numbers, self.lower = unicode_classes(path)
+        self.words = regex.compile(f"'s|'t|'re|'ve|'m|'ll|'d|{letters}+|{numbers}|[[^\\s]--{letters}--{numbers}]+", regex.V1)
         # the same words for lower-case ASCII, where the classes are spelled out
         self.ascii_words = regex.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\\sa-z0-9]+")
         vocab = model["vocab"]
@@ -106,8 +143,9 @@ class Counter:
         """Normal form up to white space, of which only the place matters."""
         if text.isascii():
             return text.lower()
+        text = unicodedata.normalize("NFC", text).translate(self.lower)
         # lower-casing is done a character at a time: no final sigma by context
-        return "".join(map(str.lower, unicodedata.normalize("NFC", text))) if "Σ" in text else unicodedata.normalize("NFC", text).lower()
+        return "".join(map(str.lower, text)) if "Σ" in text else text.lower()
 
     def count(self, text: str | None) -> int:
         """Tokens of a whole text."""

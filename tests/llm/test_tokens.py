@@ -112,6 +112,13 @@ def test_counts_equal_the_library(counter, library):
         assert counter.count(t) == library(t), t
 
 
+def test_counts_over_all_of_unicode(counter, library):
+    rng = random.Random(8)
+    for _ in range(1500):
+        t = "".join(chr(rng.choice([rng.randint(32, 0x24F), rng.randint(0x250, 0xD7FF), rng.randint(0xE000, 0x323FF), rng.randint(0xA700, 0xA7FF)])) for _ in range(30))
+        assert counter.count(t) == library(t), ascii(t)
+
+
 def test_every_prefix(counter, library):
     for t in ["Don't re-encode: it's the 22nd TEXT'RE of ñandú!!", *random_texts(10, 6)]:
         p = counter.prefixes(t)
