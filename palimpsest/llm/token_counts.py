@@ -16,6 +16,7 @@ text count as one token each, as the library has it; a limit under 0 is 0.
 from __future__ import annotations
 
 import json
+import re
 import unicodedata
 from bisect import bisect_right
 from functools import lru_cache
@@ -53,9 +54,9 @@ def ranges(points: list[int]) -> str:
     return "".join(f"\\U{a:08X}-\\U{b:08X}" for a, b in spans)
 
 
-def unicode_classes(path: str) -> tuple[str, str, dict[int, str]]:
-    """Sets of letters and numbers as the library has them, and lower-case forms
-    that Python lacks. Unicode tables differ by version in code points that
+def unicode_classes(path: str) -> tuple[str, str, dict[int, str], frozenset[str]]:
+    """Sets of letters and numbers as the library has them, lower-case forms that
+    Python lacks, and the set of code points in question. Unicode tables differ by version in code points that
     Python's table leaves unassigned; for those the library itself is asked."""
     from tokenizers import Tokenizer
 
@@ -68,7 +69,18 @@ def unicode_classes(path: str) -> tuple[str, str, dict[int, str]]:
     lower = {c: low for c in asked if (low := normal(chr(c))) != chr(c)}
     unsure = ranges(asked)
     sets = [rf"[[\p{{{k}}}--[{unsure}]]" + (f"||[{ranges(own)}]]" if own else "]") for k, own in (("L", letters), ("N", numbers))]
-    return *sets, lower
+    return *sets, lower, frozenset(map(chr, asked))
+
+
+def is_latin(text: str) -> bool:
+    """Whether all code points are below 256."""
+    if text.isascii():
+        return True
+    try:
+        text.encode("latin-1")
+        return True
+    except UnicodeEncodeError:
+        return False
 
 
 class Counter:
@@ -88,10 +100,13 @@ class Counter:
         pattern = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
         if pattern != r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+":
             raise ValueError("unknown words")
-        letters, numbers, self.lower = unicode_classes(path)
-        self.words = regex.compile(f"'s|'t|'re|'ve|'m|'ll|'d|{letters}+|{numbers}|[[^\\s]--{letters}--{numbers}]+", regex.V1)
-        # the same words for lower-case ASCII, where the classes are spelled out
-        self.ascii_words = regex.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\\sa-z0-9]+")
+        letters, numbers, self.lower, self.unsure = unicode_classes(path)
+        # three forms of one pattern, by what a text holds: Latin-1 spelled out, the
+        # regex module's classes, and the sets that tell apart what versions class differently
+        own = lambda p: "".join(re.escape(c) for c in map(chr, range(256)) if regex.match(p, c))
+        self.latin_words = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{own(r'\p{L}')}]+|[{own(r'\p{N}')}]|[^{own(r'[\s\p{L}\p{N}]')}]+")
+        self.plain_words = regex.compile(pattern)
+        self.exact_words = regex.compile(f"'s|'t|'re|'ve|'m|'ll|'d|{letters}+|{numbers}|[[^\\s]--{letters}--{numbers}]+", regex.V1)
         vocab = model["vocab"]
         letter = byte_letters()
         self.to_letters = {b: letter[b] for b in range(256)}
@@ -136,14 +151,22 @@ class Counter:
             out.append(sum(map(self.memo, self._cut(word[:k]))))
         return tuple(out)
 
+    def pattern(self, normal: str):
+        """The fastest form of the word pattern that is exact for a text."""
+        if is_latin(normal):
+            return self.latin_words
+        return self.plain_words if self.unsure.isdisjoint(normal) else self.exact_words
+
     def _cut(self, normal: str) -> list[str]:
-        return (self.ascii_words if normal.isascii() else self.words).findall(normal)
+        return self.pattern(normal).findall(normal)
 
     def normal(self, text: str) -> str:
         """Normal form up to white space, of which only the place matters."""
         if text.isascii():
             return text.lower()
-        text = unicodedata.normalize("NFC", text).translate(self.lower)
+        text = unicodedata.normalize("NFC", text)
+        if not is_latin(text) and not self.unsure.isdisjoint(text):
+            text = text.translate(self.lower)
         # lower-casing is done a character at a time: no final sigma by context
         return "".join(map(str.lower, text)) if "Σ" in text else text.lower()
 
@@ -182,7 +205,7 @@ class PrefixCounts:
 
     def __init__(self, counter: Counter, text: str):
         self.counter, self.text = counter, counter.normal(text)
-        found = list((counter.ascii_words if self.text.isascii() else counter.words).finditer(self.text))
+        found = list(counter.pattern(self.text).finditer(self.text))
         self.starts = [m.start() for m in found]
         self.words = [m.group() for m in found]
         self.upto = np.concatenate(([0], np.cumsum([counter.memo(w) for w in self.words], dtype=np.int64))).tolist()
