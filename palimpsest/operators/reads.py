@@ -47,6 +47,12 @@ def get(versions: DataFrame, key, as_of: int | None = None) -> DataFrame:
     return snapshot(versions.filter(F.col("key") == F.lit(key)), as_of)
 
 
+def get_many(versions: DataFrame, keys: DataFrame, as_of: int | None = None) -> DataFrame:
+    """The live versions of many keys at one time: the newest versions, summed in
+    the map, semi-joined with the keys on the distribution they already have."""
+    return snapshot(versions, as_of).join(keys.select("key"), "key", "left_semi")
+
+
 def key_range(versions: DataFrame, low, high) -> DataFrame:
     """Versions with low <= key <= high. An inverted range is known to be empty
     here, where Spark would scan for it."""

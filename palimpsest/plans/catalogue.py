@@ -131,6 +131,13 @@ def multi_get_asof_join(spark, sf_dir):
     return reads.multi_get_by_join(versions(spark, sf_dir), probes(spark, sf_dir)).select("key", "probe", "probe_ts", "commit_ts", "value")
 
 
+@query("get_many", f"WITH {V} " + LIVE % f"{NEWEST} WHERE commit_ts <= {S} AND key IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING') GROUP BY key")
+def get_many(spark, sf_dir):
+    """Many keys at one time."""
+    keys = table(spark, sf_dir, "customer").filter("c_mktsegment = 'BUILDING'").select(F.col("c_custkey").alias("key"))
+    return _shown(reads.get_many(versions(spark, sf_dir), keys, S))
+
+
 @query("version_count", f"WITH {V} SELECT key, count(*) AS n_versions, count(*) FILTER (is_deleted) AS n_tombstones FROM v GROUP BY key")
 def version_count(spark, sf_dir):
     return aggregates.version_counts(versions(spark, sf_dir))

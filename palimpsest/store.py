@@ -172,6 +172,10 @@ class Store:
         rows = reads.get(self.versions(key, key, upto_ts=as_of), bytearray(key), as_of).select("value").collect()
         return bytes(rows[0][0] or b"") if rows else None
 
+    def get_many(self, keys: DataFrame, as_of: int | None = None) -> DataFrame:
+        """Live versions of the keys of a DataFrame (key), all at one time."""
+        return reads.get_many(self.versions(upto_ts=as_of), keys, as_of)
+
     def multi_get(self, probes: DataFrame, **options) -> DataFrame:
         return reads.multi_get(self.versions(), probes, **options)
 

@@ -67,6 +67,9 @@ def test_ranges(store, spark):
     store.set(b"002", b"bar", 1)
     assert live(store.range(b"002", b"002", 9)) == {b"002": b"bar"} and count(b"1", b"0") == 0
     assert store.range_versions(b"001", b"002").count() == 4
+    asked = spark.createDataFrame([(bytearray(k),) for k in (b"001", b"002", b"003", b"003", b"x")], "key binary")
+    assert live(store.get_many(asked)) == {b"002": b"bar", b"003": b"foo"} and store.get_many(asked).count() == 2
+    assert live(store.get_many(asked, 0)) == {b"001": b"foo", b"002": b"foo", b"003": b"foo"}
 
 
 def test_log_is_replayed_after_a_crash(store):
