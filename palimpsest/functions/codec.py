@@ -7,6 +7,7 @@ that for keys of one length byte order is (key, timestamp) order."""
 from __future__ import annotations
 
 import struct
+import threading
 import time
 
 from pyspark.sql import Column
@@ -76,11 +77,17 @@ def from_little(data: bytes) -> int:
 
 
 class Clock:
-    """Nanoseconds that never repeat or go back, past ``floor``."""
+    """Nanoseconds that never repeat or go back, past ``floor`` and all that was
+    observed: with the manifest's time observed, past what any writer has published."""
 
     def __init__(self, floor: int = 0):
-        self.last = floor
+        self.last, self.lock = floor, threading.Lock()
+
+    def observe(self, other: int) -> None:
+        with self.lock:
+            self.last = max(self.last, other)
 
     def now(self) -> int:
-        self.last = max(time.time_ns(), self.last + 1)
-        return self.last
+        with self.lock:
+            self.last = max(time.time_ns(), self.last + 1)
+            return self.last

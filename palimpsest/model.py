@@ -60,8 +60,9 @@ class TxnAborted(TxnError):
 class StoreConfig:
     """Where a store lies and how it writes.
 
-    ``memtable_bytes`` is the budget of single writes held in memory and in the
-    log; ``fan_in`` runs of one level become one of the next, below ``top_level``."""
+    ``memtable_bytes`` is the budget of single writes held in one memtable and its
+    log, and ``max_frozen`` the full memtables that may wait to be written;
+    ``fan_in`` runs of one level become one of the next, below ``top_level``."""
 
     folder: str
     memtable_bytes: int = 64 << 20
@@ -69,7 +70,7 @@ class StoreConfig:
     log_level: str = "INFO"
     fan_in: int = 3
     top_level: int = 2
-    run_partition_bytes: int = 128 << 20
+    max_frozen: int = 2
     bloom_filter: bool = True
 
 

@@ -23,18 +23,24 @@ def merge_runs(runs: list[DataFrame]) -> DataFrame:
     return last_writer_wins(out)
 
 
-def collect_garbage(versions: DataFrame, horizon: int, drop_tombstones: bool = False) -> DataFrame:
+def collect_garbage(versions: DataFrame, horizon: int, drop_tombstones: bool = False, keep_from: int | None = None) -> DataFrame:
     """Versions that a read at ``horizon`` or later can see: all newer ones and of
     each key the newest at the horizon. With ``drop_tombstones`` (for the lowest
-    level only) that one is dropped too if it is a tombstone.
+    level only) that one is dropped too if it is a tombstone. Rows whose seq is
+    ``keep_from`` or more stay in any case.
 
-    The newest old version of a key is an aggregate that joins back by key and time."""
-    old = versions.filter(F.col("commit_ts") <= F.lit(horizon))
+    The newest old version of a key is an aggregate with partial sums in the map."""
+    newer = F.col("commit_ts") > F.lit(horizon)
+    if keep_from is not None:
+        newer = newer | (F.col("seq") >= F.lit(keep_from))
     rest = [c for c in versions.columns if c != "key"]
+    old = versions.filter(F.col("commit_ts") <= F.lit(horizon))
     kept = old.groupBy("key").agg(F.max_by(F.struct(*rest), F.struct("commit_ts", "seq")).alias("v")).select(*[F.col(c) if c == "key" else F.col(f"v.{c}").alias(c) for c in versions.columns])
+    if keep_from is not None:
+        kept = kept.filter(F.col("seq") < F.lit(keep_from))
     if drop_tombstones:
         kept = kept.filter("NOT is_deleted")
-    return versions.filter(F.col("commit_ts") > F.lit(horizon)).unionByName(kept)
+    return versions.filter(newer).unionByName(kept)
 
 
 def compaction_groups(runs: list[dict], fan_in: int = 3, top_level: int = 2) -> list[list[dict]]:

@@ -16,6 +16,10 @@ from pyspark.sql.window import Window
 
 #: Buckets that a table's time range is cut into.
 TIME_BUCKETS = 64
+#: Most probes, and bytes of their keys as a hash table, that are sent to every task.
+FEW_PROBES, FEW_BYTES = 200_000, 32 << 20
+#: Rows that one task may order, should they all be of one key.
+ONE_TASK = 4_000_000
 
 
 def _none(d: DataFrame) -> DataFrame:
@@ -85,8 +89,8 @@ def first_and_last(versions: DataFrame) -> DataFrame:
     return versions.agg(F.min_by(row, at).alias("first"), F.max_by(row, at).alias("last"))
 
 
-def _bucket(ts: str, low: int, width: int) -> Column:
-    return F.floor((F.col(ts) - F.lit(low)) / F.lit(width)).cast("long")
+def _bucket(ts: Column, low: int, width: int) -> Column:
+    return F.floor((ts - F.lit(low)) / F.lit(width)).cast("long")
 
 
 def _time_range(*parts: tuple[DataFrame, str]) -> tuple[int, int] | None:
@@ -96,32 +100,56 @@ def _time_range(*parts: tuple[DataFrame, str]) -> tuple[int, int] | None:
     return (min(a for a, _ in found), max(b for _, b in found)) if found else None
 
 
-def multi_get(versions: DataFrame, probes: DataFrame, probe_ts: str = "probe_ts", buckets: int = TIME_BUCKETS) -> DataFrame:
+def _few_keys(probes: DataFrame, rows: int, longest: int) -> DataFrame | None:
+    """The probes' keys, if their number and longest key prove them small enough to be sent to every task."""
+    return F.broadcast(probes.select("key").distinct()) if rows <= FEW_PROBES and rows * (longest + 64) <= FEW_BYTES else None
+
+
+def multi_get(versions: DataFrame, probes: DataFrame, probe_ts: str = "probe_ts", buckets: int = TIME_BUCKETS, span: tuple[int, int] | None = None,
+              most: int | None = None, one_task: int = ONE_TASK) -> DataFrame:
     """Many lookups at their own timestamps as one plan: each row of ``probes``
     (key, probe_ts, ...) with the columns of the live version it sees (inner).
 
-    Versions and probes are united and ordered within (key, time bucket); the
-    newest version of the buckets before is carried in as one more row. No pair of
-    probe and version is made besides the result."""
-    span = _time_range((versions, "commit_ts"), (probes, probe_ts))
-    low, high = span or (0, 0)
+    Versions and probes are united and dealt once by (key, time bucket); in order
+    of time a probe finds the newest version of its bucket. A bucket whose first
+    probe comes before its first version asks the buckets before it: one row of
+    numbers a bucket finds the version, which is then fetched. No pair of probe
+    and version is made besides the result. Of few keys only their versions are
+    shuffled at all. ``span`` is a range that holds all versions' times and
+    ``most`` a bound on their number, where they are known; with no more than
+    ``one_task`` rows in all no key can be too much for a task, and one bucket
+    does. Probes after the span count as at its end. Rows of equal key, time and
+    seq have to be merged before."""
+    n, longest = probes.agg(F.count(F.lit(1)), F.max(F.octet_length(F.col("key").cast("string")))).first()
+    keys = _few_keys(probes, n, longest or 0)
+    if keys is not None:
+        versions = versions.join(keys, "key", "left_semi")
+    if span is None or most is None:
+        most, *found = versions.agg(F.count(F.lit(1)), F.min("commit_ts"), F.max("commit_ts")).first()
+        span = tuple(found) if most else (0, 0)
+    if most + n <= one_task:
+        buckets = 1
+    low, high = span
     width = max(1, -(-(high - low + 1) // buckets))
+    where = lambda ts: F.lit(0).cast("long") if buckets == 1 else _bucket(F.least(ts, F.lit(high)), low, width)
     own = [c for c in probes.columns if c not in ("key", probe_ts)]
-    version = F.struct(*[c for c in versions.columns if c != "key"])
-    v = versions.select("key", _bucket("commit_ts", low, width).alias("b"), F.col("commit_ts").alias("t"), F.lit(0).alias("side"), F.col("seq").alias("nth"), version.alias("v"), F.lit(None).alias("p"))
-    p = probes.select("key", _bucket(probe_ts, low, width).alias("b"), F.col(probe_ts).alias("t"), F.lit(1).alias("side"), F.lit(0).cast("long").alias("nth"), F.lit(None).alias("v"), F.struct(F.lit(1).alias("one"), *own).alias("p"))
+    row = F.struct(*[c for c in versions.columns if c != "key"])
+    v = versions.select("key", where(F.col("commit_ts")).alias("b"), F.col("commit_ts").alias("t"), F.col("seq").alias("nth"), row.alias("v"), F.lit(None).alias("p"))
+    # a probe comes after all versions of its time
+    p = probes.select("key", where(F.col(probe_ts)).alias("b"), F.col(probe_ts).alias("t"), F.lit((1 << 63) - 1).alias("nth"), F.lit(None).alias("v"), F.struct(F.lit(1).alias("one"), *own).alias("p"))
     both = v.unionByName(p)
+    upto = Window.partitionBy("key", "b").orderBy("t", "nth").rowsBetween(Window.unboundedPreceding, 0)
+    seen = both.withColumn("v", F.last("v", ignorenulls=True).over(upto)).filter("p IS NOT NULL")
     if buckets > 1:
-        # one row a (key, bucket) with the bucket's last version; each gets the last of those before
-        ends = both.groupBy("key", "b").agg(F.max_by(F.when(F.col("side") == 0, F.col("v")), F.when(F.col("side") == 0, F.struct("t", "nth"))).alias("end"))
+        is_version = F.col("p").isNull()
+        ends = both.groupBy("key", "b").agg(F.max(F.when(is_version, F.col("t"))).alias("end"), F.min(F.when(is_version, F.col("t"))).alias("first"), F.min(F.when(~is_version, F.col("t"))).alias("asked"))
         before = Window.partitionBy("key").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
-        carried = ends.withColumn("v", F.last("end", ignorenulls=True).over(before)).filter("v IS NOT NULL")
-        carried = carried.select("key", "b", F.col("v.commit_ts").alias("t"), F.lit(0).alias("side"), F.col("v.seq").alias("nth"), "v", F.lit(None).alias("p"))
-        both = both.unionByName(carried)
-    upto = Window.partitionBy("key", "b").orderBy("t", "side", "nth").rowsBetween(Window.unboundedPreceding, 0)
-    seen = both.withColumn("v", F.last("v", ignorenulls=True).over(upto)).filter("side = 1 AND v IS NOT NULL AND NOT v.is_deleted")
+        asks = ends.withColumn("at", F.last("end", ignorenulls=True).over(before)).filter("at IS NOT NULL AND asked IS NOT NULL AND (first IS NULL OR asked < first)")
+        asks = asks.select(F.col("key").alias("of"), F.col("b").alias("of_b"), "at")
+        fetched = versions.join(asks, (F.col("key") == F.col("of")) & (F.col("commit_ts") == F.col("at"))).groupBy("of", "of_b").agg(F.max_by(row, F.col("seq")).alias("carried"))
+        seen = seen.join(fetched, (F.col("key") == F.col("of")) & (F.col("b") == F.col("of_b")), "left").withColumn("v", F.coalesce("v", "carried"))
     rest = [F.col(f"v.{c}").alias(c) for c in versions.columns if c != "key"]
-    return seen.select("key", F.col("t").alias(probe_ts), *[F.col(f"p.{c}").alias(c) for c in own], *rest)
+    return seen.filter("v IS NOT NULL AND NOT v.is_deleted").select("key", F.col("t").alias(probe_ts), *[F.col(f"p.{c}").alias(c) for c in own], *rest)
 
 
 def multi_get_by_join(versions: DataFrame, probes: DataFrame, probe_ts: str = "probe_ts") -> DataFrame:
@@ -142,7 +170,7 @@ def history(versions: DataFrame, buckets: int = TIME_BUCKETS) -> DataFrame:
     span = _time_range((versions, "commit_ts"))
     low, high = span or (0, 0)
     width = max(1, -(-(high - low + 1) // buckets))
-    rows = versions.withColumn("b", _bucket("commit_ts", low, width))
+    rows = versions.withColumn("b", _bucket(F.col("commit_ts"), low, width))
     starts = rows.groupBy("key", "b").agg(F.min("commit_ts").alias("start"))
     after = starts.select("key", "b", F.lead("start").over(Window.partitionBy("key").orderBy("b")).alias("next_bucket"))
     # the one row a bucket whose next version lies outside its bucket asks the short table

@@ -40,6 +40,10 @@ class Files:
     def size(self, name: str) -> int:
         return self.fs.getContentSummary(self.path(name)).getLength()
 
+    def modified(self, name: str) -> float:
+        """Seconds since the epoch at which a file or folder was last changed."""
+        return self.fs.getFileStatus(self.path(name)).getModificationTime() / 1000
+
     def read(self, name: str) -> bytes:
         stream = self.fs.open(self.path(name))
         try:

@@ -48,6 +48,8 @@ class Manifest:
     runs: tuple[Run, ...] = ()
     #: last batch of each stream that has been taken in
     streams: dict[str, int] = field(default_factory=dict)
+    #: number of the first run since which no version has been collected as garbage
+    whole_from: int = 0
 
     def dump(self) -> bytes:
         d = asdict(self)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from palimpsest.model import VERSIONS, StoreConfig
@@ -22,18 +22,21 @@ def write_run(versions: DataFrame, files: Files, config: StoreConfig, level: int
     name = f"runs/{run_id}"
     rows = versions if merged else last_writer_wins(versions)
     rows = rows.select(*VERSIONS.names).repartitionByRange("key", "commit_ts").sortWithinPartitions("key", "commit_ts")
+    # the statistics are taken from the rows on their way into the files
+    seen = Observation(run_id)
+    rows = rows.observe(
+        seen, F.count(F.lit(1)).alias("n"), F.sum(version_bytes(F.col("key"), F.col("value"))).alias("bytes"),
+        F.min("key").alias("low"), F.max("key").alias("high"), F.min("commit_ts").alias("first"), F.max("commit_ts").alias("last"),
+    )
     writer = rows.write
     if config.bloom_filter:
         writer = writer.option("parquet.bloom.filter.enabled#key", "true")
     writer.parquet(f"{files.folder}/{name}")
-    own = read_runs(versions.sparkSession, [f"{files.folder}/{name}"])
-    stats = own.agg(
-        F.count(F.lit(1)), F.sum(version_bytes(F.col("key"), F.col("value"))), F.min("key"), F.max("key"), F.min("commit_ts"), F.max("commit_ts"),
-    ).first()
-    if not stats[0]:
+    got = seen.get
+    if not got["n"]:
         files.delete(name)
         return None
-    return Run(run_id, level, seq, name, stats[0], stats[1], files.size(name), bytes(stats[2]), bytes(stats[3]), stats[4], stats[5])
+    return Run(run_id, level, seq, name, got["n"], got["bytes"], files.size(name), bytes(got["low"]), bytes(got["high"]), got["first"], got["last"])
 
 
 def read_runs(spark: SparkSession, paths: list[str]) -> DataFrame:

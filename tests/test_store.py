@@ -25,6 +25,12 @@ def reopened(store):
     return Store(store.spark, store.config)
 
 
+def crash(store):
+    """What the end of a process does to its logs: their locks go."""
+    for log in store.memory.logs:
+        log.close()
+
+
 def live(d):
     return {bytes(r["key"]): bytes(r["value"]) for r in d.collect()}
 
@@ -43,7 +49,10 @@ def test_budget_rotates(spark, tmp_path):
     s.set(b"1", b"bar", 0)
     s.set(b"2", b"a" * (1 << 20), 0)
     assert s.get(b"1", 0) == b"bar" and s.get(b"2", 0) == b"a" * (1 << 20)
-    assert s.metrics()["num_runs"] >= 1 and s.metrics()["disk_bytes"] > 0
+    s.barrier()
+    m = s.metrics()
+    assert (m["num_runs"], m["memtable_keys"], m["frozen_memtables"]) == (1, 1, 0) and m["disk_bytes"] > 0
+    assert s.get(b"1", 0) == b"bar" and s.get(b"2", 0) == b"a" * (1 << 20)
 
 
 def test_delete_and_odd_values(store):
@@ -76,9 +85,16 @@ def test_log_is_replayed_after_a_crash(store):
     store.set(b"a", b"1", 5)
     store.delete(b"b", 6)
     store.set(b"a", b"2", 5)
-    again = reopened(store)  # the first is never closed
+    assert len(reopened(store).memory) == 0  # a living writer's log stays its own
+    crash(store)  # it is never closed
+    again = reopened(store)
     assert again.get(b"a") == b"2" and again.get(b"b") is None and len(again.memory) == 2
+    again.set(b"c", b"x" * 100_000, 7)
+    crash(again)
+    again = reopened(store)
+    assert again.get(b"a") == b"2" and again.get(b"c") == b"x" * 100_000 and len(again.memory) == 3 and again.manifest.runs == ()
     again.close()
+    assert store.files.names("wal") == []
     assert reopened(again).get(b"a") == b"2" and reopened(again).metrics()["memtable_keys"] == 0
 
 
@@ -189,6 +205,119 @@ def test_snapshot_reads(store):
     assert store.get(b"3") == b"y"
 
 
+def test_two_writers_with_clocks_apart(store):
+    """Who comes first is told by manifests, whatever the clocks say."""
+    ahead = reopened(store)
+    ahead.clock.observe(store.clock.now() + 10**15)
+    a, b = ahead.begin(), store.begin()
+    a.set(b"k", b"a")
+    b.set(b"k", b"b")
+    a.commit()
+    with pytest.raises(ConflictError):
+        b.commit()
+    # what was committed by the clock ahead is seen by the next to begin
+    c = store.begin()
+    assert c.get(b"k") == b"a"
+    # and the other way: the late clock's commit is a conflict for the one ahead
+    d = ahead.begin()
+    c.set(b"k", b"c")
+    d.set(b"k", b"d")
+    c.commit()
+    with pytest.raises(ConflictError):
+        d.commit()
+    ahead.refresh()
+    assert ahead.get(b"k") == store.get(b"k") == b"c"
+
+
+def test_collection_leaves_open_transactions_alone(store, spark):
+    with store.begin() as t:
+        t.set(b"k", b"1")
+        t.set(b"gone", b"1")
+    old = store.begin()
+    other = reopened(store).begin()
+    assert old.get(b"k") == b"1"
+    with store.begin() as t:
+        t.set(b"k", b"2")
+        t.delete(b"gone")
+    store.collect_garbage(store.clock.now())
+    store.vacuum(orphan_seconds=0)
+    assert old.get(b"k") == b"1" and live(old.snapshot()) == {b"k": b"1", b"gone": b"1"}  # repeatable
+    old.set(b"gone", b"2")
+    with pytest.raises(ConflictError):  # the tombstone is there to be found
+        old.commit()
+    free = store.begin()
+    free.set(b"new", b"1")
+    free.commit()  # collection kept all since it began
+    # a transaction of another process is not known to this one's collection: it aborts
+    store.collect_garbage(store.clock.now())
+    other.set(b"unrelated", b"1")
+    with pytest.raises(ConflictError):
+        other.commit()
+    assert live(store.snapshot()) == {b"k": b"2", b"new": b"1"}
+
+
+def test_transactions_and_the_memtable(store):
+    store.set(b"a", b"1")
+    t = store.begin()
+    store.set(b"b", b"1")
+    store.flush()
+    assert t.get(b"a") == b"1" and t.get(b"b") is None
+    t.set(b"a", b"2")  # the flush of what was there at the start is no conflict
+    t.commit()
+    u, v = store.begin(), store.begin()
+    store.set(b"a", b"3")
+    u.set(b"a", b"4")
+    with pytest.raises(ConflictError):
+        u.commit()
+    store.flush()
+    v.set(b"a", b"4")
+    with pytest.raises(ConflictError):
+        v.commit()
+    w = store.begin()
+    store.set(b"c", b"old", 5)
+    x = store.begin()
+    store.set(b"c", b"new", 5)
+    assert w.get(b"c") is None and x.get(b"c") == b"old" and store.get(b"c") == b"new"
+
+
+def test_commits_race(store):
+    """Of transactions on one key that all began before a commit, one commits."""
+    began = [reopened(store).begin() for _ in range(4)]
+    for i, t in enumerate(began):
+        t.set(b"k", b"%d" % i)
+        t.set(b"own%d" % i, b"x")
+    done = []
+
+    def run(t):
+        try:
+            t.commit()
+            done.append(t)
+        except ConflictError:
+            pass
+
+    threads = [threading.Thread(target=run, args=(t,)) for t in began]
+    [x.start() for x in threads]
+    [x.join() for x in threads]
+    store.refresh()
+    assert len(done) == 1 and store.get(b"k") == done[0].writes[b"k"] and store.live_keys() == 2
+
+
+def test_vacuum_spares_runs_in_the_making(store, spark):
+    store.append(spark.createDataFrame([(bytearray(b"a"), bytearray(b"1"))], "key binary, value binary"))
+    store.files.make("runs/0_9_inthemaking")
+    assert store.vacuum() == [] and store.vacuum(orphan_seconds=-1) == ["0_9_inthemaking"]
+
+
+def test_closing_leaves_other_logs(store):
+    other = reopened(store)
+    store.set(b"a", b"1")
+    other.set(b"b", b"1")
+    store.close()
+    assert len(store.files.names("wal")) == 1
+    crash(other)
+    assert reopened(store).get(b"b") == b"1"
+
+
 def test_null_keys_in_batches_are_an_error(store, spark):
     with pytest.raises(Exception, match="null"):
         store.append(spark.createDataFrame([(None, bytearray(b"x"))], "key binary, value binary"))
