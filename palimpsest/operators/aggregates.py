@@ -30,3 +30,9 @@ def totals(runs: DataFrame) -> DataFrame:
 def approximate_keys(versions: DataFrame, rsd: float = 0.02) -> DataFrame:
     """Distinct keys by HyperLogLog++: a fixed-size sketch a task."""
     return versions.agg(F.approx_count_distinct("key", rsd).alias("approx_keys"))
+
+
+def approximate_keys_checked(versions: DataFrame, rsd: float = 0.02, widths: float = 4.0) -> DataFrame:
+    """The estimate beside the exact count, and whether it is within so many standard errors."""
+    out = versions.agg(F.approx_count_distinct("key", rsd).alias("approx_keys"), F.count_distinct("key").alias("exact_keys"))
+    return out.withColumn("within", F.abs(F.col("approx_keys") - F.col("exact_keys")) <= F.greatest(F.lit(1.0), F.lit(widths * rsd) * F.col("exact_keys")))

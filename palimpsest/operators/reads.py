@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+#: What rows of a store are ordered by.
+ORDER = ("key", "commit_ts", "seq")
 #: Buckets that a table's time range is cut into.
 TIME_BUCKETS = 64
 #: Most probes, and bytes of their keys as a hash table, that are sent to every task.
@@ -83,6 +85,25 @@ def ordered(versions: DataFrame) -> DataFrame:
     return versions.orderBy("key", "commit_ts", "seq")
 
 
+def ordered_places(versions: DataFrame, folder: str) -> DataFrame:
+    """Versions with their ``place`` (from 1) in the total order, at any size.
+
+    The rows are dealt by ranges of the order, sorted inside each and written to
+    ``folder`` in the shared file system, each with its range and its number in it,
+    so that what is counted and what is placed are the same ranges. One row a range
+    is summed up before it. No task sees more than a range, and ranges cut keys too."""
+    dealt = versions.repartitionByRange(*ORDER).sortWithinPartitions(*ORDER)
+    dealt.withColumn("_nth", F.monotonically_increasing_id()).write.parquet(folder)
+    rows = versions.sparkSession.read.parquet(folder)
+    # the upper bits of the number are those of the range, the lower 33 count its rows
+    rows = rows.withColumn("_range", F.shiftright("_nth", 33)).withColumn("_inside", F.col("_nth").bitwiseAND(F.lit((1 << 33) - 1)))
+    sizes = rows.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
+    upto = Window.orderBy("_of").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select(F.col("_range").alias("_of"), "_n").withColumn("_start", F.coalesce(F.sum("_n").over(upto), F.lit(0).cast("long"))).drop("_n")
+    out = rows.join(starts, F.col("_range") == F.col("_of"))
+    return out.select(*versions.columns, (F.col("_start") + F.col("_inside") + 1).alias("place"))
+
+
 def first_and_last(versions: DataFrame) -> DataFrame:
     """One row with the first and the last version in total order."""
     row, at = F.struct(*versions.columns), F.struct("key", "commit_ts", "seq")
@@ -189,6 +210,5 @@ def prune_runs(runs: DataFrame, low, high=None) -> DataFrame:
 
 
 def only_keys(versions: DataFrame, keys: DataFrame) -> DataFrame:
-    """Versions of the given keys: a semi-join, to which adaptive execution may
-    add its own Bloom filter when the key side is small enough."""
+    """Versions of the given keys, by an exact semi-join."""
     return versions.join(keys.select("key").distinct(), "key", "left_semi")

@@ -3,11 +3,42 @@
 from __future__ import annotations
 
 import os
+import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder all executors see: ``spark.checkpoint.dir``. Only on one machine
+    (tests) a local one is made and set where the session has none."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
+        folder = "file://" + tempfile.mkdtemp(prefix="palimpsest-")
+        spark.conf.set("spark.checkpoint.dir", folder)
+    return folder.rstrip("/")
+
+
+def fresh_folder(spark: SparkSession, label: str) -> str:
+    """A folder of its own in the shared one, kept until ``release``."""
+    path = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
+    context = spark.sparkContext
+    context._palimpsest_folders = [*getattr(context, "_palimpsest_folders", ()), path]
+    return path
+
+
+def release(spark: SparkSession) -> int:
+    """Delete the intermediate tables of this session; to be called once results
+    that read them are written. Returns their number."""
+    folders = getattr(spark.sparkContext, "_palimpsest_folders", [])
+    spark.sparkContext._palimpsest_folders = []
+    for path in folders:
+        Files(spark, path).delete("")
+    return len(folders)
+
+
 class Files:
     """Paths under one folder, through the file systems that Spark itself uses."""
 
@@ -18,7 +49,7 @@ class Files:
         self.local = self.fs.getUri().getScheme() == "file"
 
     def path(self, name: str):
-        return self.jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}")
+        return self.jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}" if name else self.folder)
 
     def local_path(self, name: str = "") -> str:
         return os.path.join(self.root.toUri().getPath(), name)

@@ -131,3 +131,20 @@ def test_overlay_and_conflicts(spark):
     log = spark.createDataFrame([("a", 11), ("a", 12), ("b", 10), ("z", 99)], "key string, log_ts long")
     assert [r["txn"] for r in transactions.conflicts(writes, log).collect()] == [1]
     assert transactions.conflicts(writes.withColumn("commit_ts", F.lit(10)), log).count() == 0
+
+
+def test_places_in_the_total_order(spark, tmp_path):
+    rng = random.Random(3)
+    rows = [(rng.choice(["hot"] * 3 + ["a", "z"]), rng.randrange(50), i, f"v{i}", False) for i in range(500)]
+    got = reads.ordered_places(spark.createDataFrame(rows, SCHEMA).repartition(7), f"file://{tmp_path}/places").collect()
+    want = {r[2]: k + 1 for k, r in enumerate(sorted(rows, key=lambda r: r[:3]))}
+    assert {r["seq"]: r["place"] for r in got} == want
+    assert reads.ordered_places(spark.createDataFrame([], SCHEMA), f"file://{tmp_path}/none").count() == 0
+
+
+def test_work_folders_are_released(spark):
+    from palimpsest.sources.files import Files, fresh_folder, release
+
+    path = fresh_folder(spark, "x")
+    spark.range(3).write.parquet(path)
+    assert release(spark) >= 1 and not Files(spark, path).exists("") and release(spark) == 0

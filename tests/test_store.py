@@ -341,6 +341,25 @@ def test_binary_run_layout():
         binary.dump_run([(b"k", 1, b"x" * 70000)])
 
 
+def test_binary_run_lookups(tmp_path):
+    entries = [(b"k%04d" % i, t, None if t == 2 and i % 7 == 0 else b"v%d.%d" % (i, t)) for i in range(300) for t in (1, 2, 3)]
+    (tmp_path / "r.sst").write_bytes(binary.dump_run(entries))
+    by_key = {(k, t): v for k, t, v in entries}
+    with binary.RunFile(f"file://{tmp_path}/r.sst") as f:
+        assert f.ends() == (b"k0000", b"k0299") and f.about["n_keys"] == 900
+        for i in (0, 7, 150, 299):
+            for t in (0, 1, 2, 9):
+                want = None if t == 0 else (b"k%04d" % i, min(t, 3), by_key[b"k%04d" % i, min(t, 3)])
+                assert f.get(b"k%04d" % i, t) == want
+        assert f.get(b"a", 9) is None and f.get(b"z", 9) is None and f.get(b"k00001", 9) is None
+    (tmp_path / "bad.sst").write_bytes(b"short")
+    with pytest.raises(FormatError):
+        binary.RunFile(f"file://{tmp_path}/bad.sst")
+    (tmp_path / "none.sst").write_bytes(binary.dump_run([]))
+    with binary.RunFile(f"file://{tmp_path}/none.sst") as f:
+        assert f.ends() is None and f.get(b"a", 1) is None
+
+
 def test_binary_log():
     data = b"".join(binary.dump_log_entry(*e) for e in ENTRIES)
     assert list(binary.load_log(data)) == ENTRIES
@@ -363,8 +382,8 @@ def test_binary_sources(store, spark, tmp_path):
     log = binary.as_versions(spark.read.format("kv_log").load(f"file://{tmp_path}/log"))
     assert [bytes(r["value"]) for r in log.collect()] == [b"bar"]
     (tmp_path / "out").mkdir()
-    made = binary.export_runs(store.versions(), f"file://{tmp_path}/out", file_rows=4).collect()
-    assert sum(r["n_keys"] for r in made) == 11
+    made = binary.export_runs(store.versions(), f"file://{tmp_path}/out", file_bytes=100, tasks=2).collect()
+    assert sum(r["n_keys"] for r in made) == 11 and len(made) == len({r["name"] for r in made}) > 2
     back = binary.as_versions(spark.read.format("kv_run").load(f"file://{tmp_path}/out"))
     assert back.count() == 11 and back.filter("is_deleted").count() == 1
 
