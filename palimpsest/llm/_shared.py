@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import os
 import tempfile
-import uuid
 import zipfile
 from collections.abc import Callable, Iterator
 from pathlib import Path
@@ -13,6 +12,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from palimpsest.sources.files import fresh_folder, shared_folder  # noqa: F401
+
 #: A word of the corpus contracts: a run of anything but space and \t \n \v \f \r.
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 
@@ -26,23 +27,10 @@ def words_of(text: str) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").split()
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors see: ``spark.checkpoint.dir``. Only where the
-    session has none (tests on one machine) a local one is made and set."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = "file://" + tempfile.mkdtemp(prefix="palimpsest-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
-
-
-def fresh_folder(spark: SparkSession, label: str) -> str:
-    return f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
-
-
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Cut lineage: write to the shared folder and read again. A lost executor
-    then costs a reread and never a second run of what is upstream."""
+    then costs a reread and never a second run of what is upstream. The table
+    stays until ``palimpsest.sources.files.release`` is called."""
     path = fresh_folder(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -1,21 +1,37 @@
 """URL filters: host and path rules, then association rules mined from labels.
 
 Spark's FP-growth mines combinations of URL tokens together with the label item
-of labelled pages; rules that conclude the block label are pruned by confidence
-and by the support of rule and label, and rules that a shorter rule with at
-least their confidence already covers are dropped. Matching uses an inverted
-index: each mined rule is filed under its rarest token, so a URL looks up only
-rules filed under tokens it has and then tests the rest of their tokens.
+of labelled pages. A rule says that pages with all its tokens are to be blocked;
+it is kept if enough blocked pages support it, its confidence (their share of all
+labelled pages with these tokens) is high enough and no rule over some of its
+tokens is kept already, which would block the same URLs and more. Rules have at
+most ``max_len`` tokens. All counts are over whole token sets of all labelled
+pages, and only rules that are kept come to the driver.
+
+FP-growth itself has no bound on the length and finds 2^k sets among k tokens
+that keep together. So tokens that are a rule alone leave first, and the others
+are dealt to groups by rank: a basket is cut into one part for each choice of up to
+``max_len`` of its groups, such that a part has at most ``WIDTH`` tokens, and items
+carry their choice. A set of tokens counts in the parts of just the groups it is
+from: every basket that has the set has one such part, so its counts stay exact.
+
+Matching uses an inverted index: each mined rule is filed under its rarest token,
+so a URL looks up only rules filed under tokens it has and then tests the rest.
 
 Defined results: a null URL, or one without ``://``, has an empty host and path
-and no tokens, so no rule fits and the verdict is allow; repeated URLs get equal
-verdicts; labels without id or value are ignored; with no labels no rule is
-mined. Explicit rules come before mined ones.
+and no tokens, so no rule fits and the verdict is allow; URLs of any length are
+read whole, and all their tokens count; repeated URLs get equal verdicts; labels
+without id or value are ignored, of several labels of one id a blocking one
+counts; with no labels no rule is mined; an empty table gives an empty one.
+Explicit rules come before mined ones.
 """
 
 from __future__ import annotations
 
+import math
+from collections import Counter
 from dataclasses import dataclass
+from itertools import combinations
 
 import pyarrow as pa
 from pyspark.ml.fpm import FPGrowth
@@ -73,59 +89,114 @@ class MinedRule:
         return " & ".join(self.tokens)
 
 
-def prune(found: list[MinedRule]) -> list[MinedRule]:
-    """Without rules that a rule over some of their tokens covers at no less confidence."""
-    kept: list[MinedRule] = []
-    by_token: dict[str, list[MinedRule]] = {}
-    for r in sorted(found, key=lambda r: (len(r.tokens), -r.confidence, r.tokens)):
-        own = set(r.tokens)
-        if not any(s.confidence >= r.confidence and own.issuperset(s.tokens) for t in r.tokens for s in by_token.get(t, ())):
-            kept.append(r)
-            for t in r.tokens:
-                by_token.setdefault(t, []).append(r)
-    return kept
+#: Most tokens of a part of a basket, among which FP-growth may find every set.
+WIDTH = 12
+
+
+def _parts(tokens: Column, rank: dict[str, int], groups: int, max_len: int) -> Column:
+    """The parts of a basket (array of open tokens): one array a choice of up to
+    ``max_len`` of the groups its tokens are in; an item is choice, group and token."""
+
+    @F.arrow_udf("array<array<string>>")
+    def run(col: pa.Array) -> pa.Array:
+        out = []
+        for own in col.to_pylist():
+            by_group: dict[int, list[str]] = {}
+            for t in own:
+                by_group.setdefault(rank[t] % groups, []).append(t)
+            here = []
+            for pick in (p for k in range(1, max_len + 1) for p in combinations(sorted(by_group), k)):
+                mark = ",".join(map(str, pick))
+                here.append([f"{mark} {g} {t}" for g in pick for t in by_group[g]])
+            out.append(here)
+        return pa.array(out, pa.list_(pa.list_(pa.string())))
+
+    return run.asNondeterministic()(tokens)
+
+
+def _open(tokens: Column, rank: dict[str, int]) -> Column:
+    """The tokens of a page that are in ``rank``, in its order."""
+
+    @F.arrow_udf("array<string>")
+    def run(col: pa.Array) -> pa.Array:
+        return pa.array([sorted((t for t in own if t in rank), key=rank.__getitem__) for own in col.to_pylist()], pa.list_(pa.string()))
+
+    return run.asNondeterministic()(tokens)
+
+
+def _widest(tokens: Column, rank: dict[str, int], groups: int, max_len: int) -> Column:
+    """Tokens of the widest part of a basket."""
+
+    @F.arrow_udf("int")
+    def run(col: pa.Array) -> pa.Array:
+        sizes = [sorted(Counter(rank[t] % groups for t in own).values())[-max_len:] for own in col.to_pylist()]
+        return pa.array([sum(x) for x in sizes], pa.int32())
+
+    return run(tokens)
 
 
 def mine(pages: DataFrame, labels: DataFrame, id_col: str = "page_id", url_col: str = "url", label_id: str = "doc_id",
          blocked: Column | None = None, min_support: float = 0.002, min_count: int = 8, min_confidence: float = 0.7,
-         max_tokens: int = 24) -> list[MinedRule]:
-    """Mined rules. A token set is frequent from max(min_support * labelled pages,
-    min_count) pages with it and the label, so at most 1 / min_support disjoint
-    sets are, however large the input: what the driver gets does not grow with it.
-
-    Only tokens that meet this floor together with the label enter the
-    transactions, as no other can be in a rule that survives; URLs with more such
-    tokens than ``max_tokens`` keep those seen with the label most often."""
+         max_len: int = 3) -> list[MinedRule]:
+    """Mined rules, shortest first.
+
+    A rule is supported by max(min_support * labelled pages, min_count) blocked
+    pages or more. A blocked page with k tokens supports less than k^max_len rules, so
+    there are less than k^max_len / min_support of them, however many pages there are."""
     blocked = blocked if blocked is not None else (F.col("quality") == 0) | (F.col("toxic") == 1)
     marked = labels.filter(F.col(label_id).isNotNull()).withColumn("bad", blocked).filter("bad IS NOT NULL")
     marked = marked.groupBy(F.col(label_id).alias("label_id")).agg(F.max(F.col("bad").cast("int")).alias("bad"))
-    own = pages.select(F.col(f"`{id_col}`").alias("id"), tokens_column(host_column(F.col(f"`{url_col}`")), path_column(F.col(f"`{url_col}`"))).alias("tokens"))
+    url = F.col(f"`{url_col}`")
+    own = pages.select(F.col(f"`{id_col}`").alias("id"), tokens_column(host_column(url), path_column(url)).alias("tokens"))
     rows = materialize(own.join(marked, F.col("id") == F.col("label_id")).select("tokens", "bad"), "url-labelled")
     total, bad = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum("bad"), F.lit(0))).first()
-    floor = max(min_count, min_support * total)
+    floor = math.ceil(max(min_count, min_support * total))
     if not total or bad < floor:
         return []
-    # items and rows that can matter: a rule's support counts only blocked pages with all its tokens
-    seen = rows.filter("bad = 1").select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= floor)
-    frequent = {t: n for t, n in seen.collect()}  # at most tokens a URL / min_support
-    if not frequent:
-        return []
-    items = F.array(*[F.lit(t) for t in sorted(frequent, key=lambda t: (-frequent[t], t))])
-    kept = rows.withColumn("items", F.slice(F.array_intersect(items, F.col("tokens")), 1, max_tokens)).filter("size(items) > 0")
-    baskets = kept.filter("bad = 1").select("items")
-    sets = FPGrowth(itemsCol="items", minSupport=min(1.0, floor / bad), minConfidence=0.0, numPartitions=max(8, rows.rdd.getNumPartitions())).fit(baskets).freqItemsets
-    # confidence needs each set's count over all labelled pages
-    found = sets.collect()
-    ids = [(tuple(sorted(r["items"])), r["freq"]) for r in found]
-    index = Index([MinedRule(t, 0.0, n) for t, n in ids])
-
-    @F.arrow_udf("array<int>")
-    def hits(col: pa.Array) -> pa.Array:
-        return pa.array([index.match(set(t)) for t in col.to_pylist()], pa.list_(pa.int32()))
-
-    counts = dict(kept.select(F.explode(hits(F.col("items"))).alias("k")).groupBy("k").count().collect())
-    rules = [MinedRule(t, n / counts[k], n) for k, (t, n) in enumerate(ids) if counts.get(k)]
-    return prune([r for r in rules if r.confidence >= min_confidence and r.support >= floor])
+    # tokens that enough blocked pages have: less than tokens a URL / min_support
+    seen = rows.select(F.explode("tokens").alias("token"), "bad").groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.sum("bad").alias("bad")).filter(F.col("bad") >= floor)
+    single = {t: (n, b) for t, n, b in seen.collect()}
+    rules = [MinedRule((t,), b / n, b) for t, (n, b) in sorted(single.items()) if b >= min_confidence * n]
+    alone = {r.tokens[0] for r in rules}
+    rank = {t: k for k, t in enumerate(sorted(single.keys() - alone, key=lambda t: (-single[t][1], t)))}
+    if max_len < 2 or len(rank) < 2:
+        return rules
+    # no set with a token that is a rule is of use, nor are pages with less than two other tokens
+    baskets = materialize(rows.select(_open(F.col("tokens"), rank).alias("items"), "bad").filter("size(items) > 1"), "url-baskets")
+    if baskets.isEmpty():
+        return rules
+    groups = 1
+    while groups < len(rank) and baskets.agg(F.max(_widest(F.col("items"), rank, groups, max_len))).first()[0] > WIDTH:
+        groups = min(len(rank), max(max_len + 1, 2 * groups))
+    parts = baskets.select(F.explode(_parts(F.col("items"), rank, groups, max_len)).alias("part"), "bad").filter("size(part) > 1")
+    parts = materialize(parts.select(F.when(F.col("bad") == 1, F.concat("part", F.array(F.lit(BLOCK)))).otherwise(F.col("part")).alias("items")), "url-parts")
+    n_parts = parts.count()
+    if not n_parts:
+        return rules
+    sets = FPGrowth(itemsCol="items", minSupport=min(1.0, (floor - 0.5) / n_parts), minConfidence=0.0, numPartitions=max(8, parts.rdd.getNumPartitions())).fit(parts).freqItemsets
+    # mark, group and token of each item but the label
+    fields = sets.select("freq", F.array_contains("items", BLOCK).alias("with_label"), F.transform(F.filter("items", lambda x: x != BLOCK), lambda x: F.split(x, " ", 3)).alias("x"))
+    of = lambda k: F.array_distinct(F.transform("x", lambda y: F.get(y, F.lit(k))))
+    whole = (F.size("x").between(2, max_len)) & (F.size(of(1)) == F.size(F.split(F.get(of(0), F.lit(0)), ",")))
+    counted = fields.filter(whole).select(F.array_sort(of(2)).alias("tokens"), "with_label", "freq")
+    both = counted.groupBy("tokens").agg(F.max(F.when(F.col("with_label"), F.col("freq"))).alias("bad"), F.max(F.when(~F.col("with_label"), F.col("freq"))).alias("n"))
+    passed = both.filter((F.col("bad") >= floor) & (F.col("bad") >= F.lit(min_confidence) * F.col("n")))
+    passed = materialize(passed, "url-rules")
+    # longer rules go where a shorter one is kept
+    pairs = passed.filter("size(tokens) < %d" % max_len).select(F.col("tokens").alias("short"))
+    longer = passed.select("tokens", F.explode(_subsets(F.col("tokens"), max_len)).alias("part"))
+    covered = longer.join(pairs, F.col("part") == F.col("short"), "left_semi").select("tokens").distinct()
+    kept = passed.join(covered, "tokens", "left_anti")
+    return rules + [MinedRule(tuple(t), b / n, b) for t, b, n in sorted((tuple(r["tokens"]), r["bad"], r["n"]) for r in kept.collect())]
+
+
+def _subsets(tokens: Column, max_len: int) -> Column:
+    """All proper subsets of two tokens or more of a sorted array of at most ``max_len``."""
+    picks = [p for k in range(2, max_len) for p in combinations(range(max_len), k)]
+    if not picks:
+        return F.array().cast("array<array<string>>")
+    of = [F.when(F.size(tokens) > max(p[-1], len(p)), F.array(*[F.get(tokens, F.lit(i)) for i in p])) for p in picks]
+    return F.array_compact(F.array(*of))
 
 
 class Index:

@@ -36,17 +36,18 @@ def test_fixed_rules(spark):
     assert ur.judge(d.limit(0), []).count() == 0
 
 
-def brute_rules(pages, labels, floor, confidence):
-    """All token sets by enumeration."""
+def brute_rules(pages, labels, floor, confidence, max_len=3):
+    """All token sets by enumeration; of those that pass, the ones no other is part of."""
     rows = [(set(t), labels[i]) for i, t in pages.items() if i in labels]
     counts = {}
     for tokens, bad in rows:
-        for k in range(1, len(tokens) + 1):
+        for k in range(1, max_len + 1):
             for s in combinations(sorted(tokens), k):
                 c = counts.setdefault(s, [0, 0])
                 c[0] += 1
                 c[1] += bad
-    return ur.prune([ur.MinedRule(s, b / n, b) for s, (n, b) in counts.items() if b >= floor and b / n >= confidence])
+    passed = {s: (n, b) for s, (n, b) in counts.items() if b >= floor and b / n >= confidence}
+    return [ur.MinedRule(s, b / n, b) for s, (n, b) in passed.items() if not any(p in passed for k in range(1, len(s)) for p in combinations(s, k))]
 
 
 def test_mined_rules_equal_enumeration(spark):
@@ -74,6 +75,36 @@ def test_mined_rules_equal_enumeration(spark):
         assert (out[i]["verdict"] == "block") == hit and (out[i]["mined_rule"] is not None) == hit
 
 
+@pytest.mark.parametrize("width,max_len", [(12, 3), (3, 3), (4, 2), (2, 1), (5, 4)])
+def test_random_token_sets_equal_enumeration(spark, monkeypatch, width, max_len):
+    """Whole baskets and baskets cut into parts give the same rules."""
+    monkeypatch.setattr(ur, "WIDTH", width)
+    rng = random.Random(width * 10 + max_len)
+    words = ["w%s" % c for c in "abcdefghij"]
+    pages, labels = [], []
+    for i in range(150):
+        own = [w for w in words if rng.random() < 0.45]
+        bad = {"wa", "wb"} <= set(own) or {"wc", "wd", "we"} <= set(own) or rng.random() < 0.15
+        pages.append((i, "http://h/" + "/".join(own)))
+        labels.append((i, int(not bad), 0))
+    p, lab = spark.createDataFrame(pages, "page_id long, url string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    tokens = {r["page_id"]: r["t"] for r in p.select("page_id", ur.tokens_column(ur.host_column(F.col("url")), ur.path_column(F.col("url"))).alias("t")).collect()}
+    mined = ur.mine(p, lab, min_count=6, min_support=0.0, min_confidence=0.75, max_len=max_len)
+    want = brute_rules(tokens, {i: int(q == 0) for i, q, _ in labels}, 6, 0.75, max_len)
+    assert {(r.tokens, r.support, round(r.confidence, 9)) for r in mined} == {(r.tokens, r.support, round(r.confidence, 9)) for r in want}
+
+
+def test_long_urls_that_share_many_tokens(spark):
+    """40 blocked URLs with 30 tokens in common, of which others have all but the last two."""
+    common = "/".join("t%s" % chr(97 + i) * 2 for i in range(28))
+    rows = [(i, f"http://one.test/{common}/" + ("yes/also" if i < 40 else "yes" if i < 70 else "also")) for i in range(100)]
+    p = spark.createDataFrame([*rows, (1000, "http://x.test/" + "long/" * 50_000 + "yes/also")], "page_id long, url string")
+    lab = spark.createDataFrame([(i, int(i >= 40), 0) for i in range(100)], "doc_id long, quality int, toxic int")
+    mined = ur.mine(p, lab, min_count=8, min_support=0.002)
+    assert {(r.tokens, r.support, r.confidence) for r in mined} == {(("p:also", "p:yes"), 40, 1.0)}
+    assert {r["page_id"] for r in ur.judge(p, mined).filter("mined_rule IS NOT NULL").collect()} == {*range(40), 1000}
+
+
 def test_nothing_to_mine(spark):
     none, lab = spark.createDataFrame([], "page_id long, url string"), spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert ur.mine(none, lab) == [] and ur.filter_urls(none, lab).count() == 0
