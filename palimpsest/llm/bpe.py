@@ -42,7 +42,6 @@ class Memo:
             self.young[key] = value
         return value
 
-
     def clear(self) -> None:
         self.young, self.old = {}, {}
 
@@ -157,6 +156,48 @@ def last_pieces(auto: ahocorasick.Automaton, merges: Merges, text: str) -> tuple
     return last, count
 
 
+def prefix_counts(auto: ahocorasick.Automaton, merges: Merges, text: str) -> list[int]:
+    """Pieces of each prefix of ``text`` that is encoded alone, in one pass (-1
+    where the program finds none).
+
+    The automaton's values are (length, piece, closing piece): what the string is
+    inside a text, and what it is as the end of one (-1 if it is none). For each
+    prefix the pass keeps its last piece and number of pieces if more follows, and
+    asks which closing piece stays apart from what comes before it."""
+    last, count, closed = [-1] * (len(text) + 1), [-1] * (len(text) + 1), [-1] * (len(text) + 1)
+    count[0] = closed[0] = 0
+    apart, young = merges._apart, merges._apart.young
+    for end, (length, inside, closing) in auto.iter(text):
+        end += 1
+        start = end - length
+        before = count[start]
+        if before < 0 or start and not before:
+            continue
+        if closing >= 0 and closed[end] < 0:
+            if not start:
+                closed[end] = 1
+            else:
+                pair = last[start] << PAIR_BITS | closing
+                ok = young.get(pair)
+                if ok is None:
+                    ok = apart(pair)
+                    young = merges._apart.young
+                if ok:
+                    closed[end] = before + 1
+        if inside >= 0 and last[end] < 0:
+            if not start:
+                last[end], count[end] = inside, 1
+            else:
+                pair = last[start] << PAIR_BITS | inside
+                ok = young.get(pair)
+                if ok is None:
+                    ok = apart(pair)
+                    young = merges._apart.young
+                if ok:
+                    last[end], count[end] = inside, before + 1
+    return closed
+
+
 def trace(last: list[int], lengths: list[int]) -> list[int]:
     """The encoding of the whole text from the last piece of each prefix."""
     out, at = [], len(last) - 1

@@ -4,13 +4,20 @@ A byte-pair vocabulary with word ends cuts a text into words and encodes each
 alone, so a prefix of a text costs the tokens of its whole words plus those of
 the word it cuts. The counts up to each word are one running sum per text, and
 those inside a word come from the dynamic program of
-:mod:`palimpsest.llm.bpe`, which finds the count of each prefix of a word in one
-pass over the links of an Aho-Corasick automaton: inside a word for prefixes that
-more of the word follows, and with the word end for a prefix that is cut there.
-Words repeat, so their tables are kept in a bounded memo.
+:mod:`palimpsest.llm.bpe`, which finds the count of every prefix of a word, cut
+there, in one pass over the links of an Aho-Corasick automaton; its last entry is
+the word's own count. Words repeat, so both are kept in bounded memos.
+
+Prefixes are those of the text as it is given, in code points, whatever its
+normal form does to their number: the text is cut where its normal form is that
+of its parts, and a prefix that ends inside such a part is counted from the last
+word before it. Special strings count as one token, and as plain text where a
+prefix cuts them.
 
 Defined results: a null or empty text has no tokens; special strings inside a
-text count as one token each, as the library has it; a limit under 0 is 0.
+text count as one token each, as the library has it; words and texts of any
+length are counted whole, in time linear in them; a limit under 0 is 0; repeated
+rows get equal results; an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -18,9 +25,10 @@ from __future__ import annotations
 import json
 import re
 import unicodedata
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 from functools import lru_cache
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 import regex
@@ -28,7 +36,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from palimpsest.llm._shared import texts
-from palimpsest.llm.bpe import Memo, Merges, automaton, claim, last_pieces
+from palimpsest.llm.bpe import Memo, Merges, claim, prefix_counts
 
 
 def byte_letters() -> list[str]:
@@ -121,9 +129,16 @@ class Counter:
         self.merges = Merges(symbols, pairs)
         usable = {i for i in range(len(symbols)) if self.merges.rank[i] >= 0}
         base = {vocab[x] for b in letter for x in (b, b + self.end) if x in vocab}
-        self.mark = "␀"  # stands for the word end inside the automaton
-        self.pieces = {p.replace(self.end, self.mark) if p.endswith(self.end) else p: i for p, i in vocab.items() if (i in usable or i in base)}
-        self.auto = automaton(self.pieces)
+        self.pieces = {p: i for p, i in vocab.items() if i in usable or i in base}
+        stems: dict[str, list[int]] = {}
+        for p, i in self.pieces.items():
+            closing = p.endswith(self.end)
+            stems.setdefault(p.removesuffix(self.end), [-1, -1])[closing] = i
+        self.auto = ahocorasick.Automaton()
+        for p, (inside, closing) in stems.items():
+            if p:
+                self.auto.add_word(p, (len(p), inside, closing))
+        self.auto.make_automaton()
         self.letters = letter
         self.memo = Memo(self._count, longest=64)
         self.tables = Memo(self._table, 20_000, longest=64)
@@ -133,23 +148,30 @@ class Counter:
             return word  # printable ASCII letters stand for themselves
         return "".join(map(self.letters.__getitem__, word.encode("utf-8", "surrogatepass")))
 
+    def _program(self, word: str) -> list[int]:
+        """Tokens of each prefix of a word's bytes, cut there, by the one-pass program."""
+        return prefix_counts(self.auto, self.merges, self._spell(word))
+
     def _count(self, word: str) -> int:
-        spelled = self._spell(word) + self.mark
-        count = last_pieces(self.auto, self.merges, spelled)[1][-1]
+        count = self._program(word)[-1]
         return count if count > 0 else len(self._merged(word))
 
     def _merged(self, word: str) -> list[int]:
         """The definition: merge symbols by rank."""
         spelled = [self.letters[b] for b in word.encode("utf-8", "surrogatepass")]
-        spelled[-1] += self.mark
+        spelled[-1] += self.end
         return self.merges.encode_by_merging([self.pieces[s] for s in spelled])
 
     def _table(self, word: str) -> tuple[int, ...]:
         """Tokens of each prefix of a word, cut there: entry k is for k characters."""
-        out = [0]
-        for k in range(1, len(word) + 1):
-            out.append(sum(map(self.memo, self._cut(word[:k]))))
-        return tuple(out)
+        if word[0] == "'" and len(word) > 1 and word[1].isalpha():
+            # a cut contraction is two words
+            return tuple(sum(map(self.memo, self._cut(word[:k]))) for k in range(len(word) + 1))
+        found = self._program(word)
+        if not word.isascii():
+            ends = np.cumsum([0, *(len(c.encode("utf-8", "surrogatepass")) for c in word)]).tolist()
+            found = [found[e] for e in ends]
+        return tuple(n if n >= 0 else len(self._merged(word[:k])) for k, n in enumerate(found))
 
     def pattern(self, normal: str):
         """The fastest form of the word pattern that is exact for a text."""
@@ -196,36 +218,143 @@ class Counter:
         return PrefixCounts(self, text or "")
 
 
-class PrefixCounts:
-    """Exact counts of every prefix of the normal form of one text.
-
-    Positions are characters of the normal form (NFC, lower case), of texts
-    without special strings. ``count(k)`` is what encoding the first k
-    characters alone gives; it costs a search among words and one word's table."""
-
-    def __init__(self, counter: Counter, text: str):
-        self.counter, self.text = counter, counter.normal(text)
-        found = list(counter.pattern(self.text).finditer(self.text))
+def blocks_of(text: str) -> list[str]:
+    """A text cut where its composed form is that of its parts put together: before
+    a code point that does not combine with what comes before it."""
+    starts, compose = [0], unicodedata.normalize
+    for i, c in enumerate(text):
+        if i and not c.isascii():
+            before = "" if unicodedata.combining(c) else text[starts[-1] : i]
+            if not before or compose("NFC", before + c) != compose("NFC", before) + compose("NFC", c):
+                continue
+        if i:
+            starts.append(i)
+    return [text[a:b] for a, b in zip(starts, [*starts[1:], len(text)])]
+
+
+class Stretch:
+    """A part of a text without special strings: its normal form, the words of
+    that with their running counts, and the way from prefixes to normal prefixes."""
+
+    def __init__(self, counter: Counter, text: str, start: int):
+        self.counter, self.text, self.start = counter, text, start
+        self.normal = counter.normal(text)
+        self.ends: list[int] | None = None  # None: as many characters as in the text
+        if not text.isascii() and (len(self.normal) != len(text) or not unicodedata.is_normalized("NFC", text)):
+            blocks = blocks_of(text)
+            forms = list(map(counter.normal, blocks))
+            if "".join(forms) != self.normal:
+                raise AssertionError("the normal form is not that of its blocks")
+            self.ends = np.cumsum([0, *map(len, blocks)]).tolist()
+            self.normal_ends = np.cumsum([0, *map(len, forms)]).tolist()
+        self._words()
+
+    def _words(self) -> None:
+        found = list(self.counter.pattern(self.normal).finditer(self.normal))
         self.starts = [m.start() for m in found]
         self.words = [m.group() for m in found]
-        self.upto = np.concatenate(([0], np.cumsum([counter.memo(w) for w in self.words], dtype=np.int64))).tolist()
+        self.upto = np.concatenate(([0], np.cumsum([self.counter.memo(w) for w in self.words], dtype=np.int64))).tolist()
 
-    def count(self, k: int) -> int:
-        at = bisect_right(self.starts, k - 1) - 1 if k > 0 else -1
+    def _of_normal(self, n: int) -> int:
+        """Tokens of the first n characters of the normal form."""
+        at = bisect_right(self.starts, n - 1) - 1 if n > 0 else -1
         if at < 0:
             return 0
-        inside = min(k - self.starts[at], len(self.words[at]))
-        return self.upto[at] + self.counter.tables(self.words[at])[inside]
+        inside = min(n - self.starts[at], len(self.words[at]))
+        return self.upto[at] + (self.counter.tables(self.words[at])[inside] if inside < len(self.words[at]) else self.upto[at + 1] - self.upto[at])
 
-    def truncate(self, limit: int) -> int:
-        """Most characters whose count keeps within the limit. Whole words are
-        found by their running sum, then the next word's table is read."""
-        at = bisect_right(self.upto, max(limit, 0)) - 1
+    def with_tail(self, n: int, tail: str) -> int:
+        """Tokens of the first n characters of the normal form and a string after
+        them: only the last word before it is cut anew."""
+        at = bisect_right(self.starts, n - 1) - 1 if n > 0 else -1
+        start, before = (self.starts[at], self.upto[at]) if at >= 0 else (0, 0)
+        return before + sum(map(self.counter.memo, self.counter._cut(self.normal[start:n] + tail)))
+
+    def count(self, k: int) -> int:
+        """Tokens of the first k characters."""
+        if self.ends is None:
+            return self._of_normal(k)
+        at = bisect_right(self.ends, k) - 1
+        rest = self.text[self.ends[at] : k]
+        n = self.normal_ends[at]
+        return self.with_tail(n, self.counter.normal(rest)) if rest else self._of_normal(n)
+
+    def most(self, limit: int) -> int:
+        """Most characters within the limit: the first word that does not fit whole
+        bounds the search, which goes back from its end."""
+        at = bisect_right(self.upto, limit) - 1
         if at >= len(self.words):
             return len(self.text)
-        table, room = self.counter.tables(self.words[at]), max(limit, 0) - self.upto[at]
-        fits = [k for k, n in enumerate(table) if n <= room]
-        return self.starts[at] + max(fits)
+        n = self.starts[at] + len(self.words[at])
+        if self.ends is None:
+            k = n
+        else:
+            k = self.ends[bisect_left(self.normal_ends, n)]
+        while k > 0 and self.count(k) > limit:
+            k -= 1
+        return k
+
+    def table(self) -> np.ndarray:
+        """Counts of all prefixes, the empty one first."""
+        if self.ends is not None:
+            return np.array([self.count(k) for k in range(len(self.text) + 1)], np.int64)
+        out = np.zeros(len(self.text) + 1, np.int64)
+        for start, word, n in zip(self.starts, self.words, self.upto):
+            out[start + 1 : start + 1 + len(word)] = self.counter.tables(word)[1:]
+            out[start + 1 : start + 1 + len(word)] += n
+        # white space after a word costs nothing
+        inside = np.zeros(len(out), bool)
+        for start, word in zip(self.starts, self.words):
+            inside[start + 1 : start + 1 + len(word)] = True
+        last = np.maximum.accumulate(np.where(inside, np.arange(len(out)), 0))
+        return out[last]
+
+
+class PrefixCounts:
+    """Exact counts of every prefix of one text: ``count(k)`` is what encoding its
+    first k characters alone gives."""
+
+    def __init__(self, counter: Counter, text: str):
+        self.text = text
+        found = list(counter.split_special.finditer(text)) if counter.split_special else []
+        edges = [0, *(x for m in found for x in m.span()), len(text)]
+        # a stretch before each special string and one after the last; counts before each
+        self.parts = [Stretch(counter, text[a:b], a) for a, b in zip(edges[::2], edges[1::2])]
+        self.before = np.concatenate(([0], np.cumsum([p.upto[-1] + 1 for p in self.parts]))).tolist()
+        self.total = self.before[-1] - 1
+
+    def count(self, k: int) -> int:
+        k = min(max(k, 0), len(self.text))
+        at = bisect_right(self.parts, k, key=lambda p: p.start) - 1
+        part = self.parts[at]
+        own = k - part.start
+        if own <= len(part.text):
+            return self.before[at] + part.count(own)
+        # inside a special string, which is plain text as far as it is there
+        return self.before[at] + part.with_tail(len(part.normal), part.counter.normal(self.text[part.start + len(part.text) : k]))
+
+    def truncate(self, limit: int) -> int:
+        """Most characters whose count keeps within the limit."""
+        limit = max(limit, 0)
+        at = bisect_right(self.before, limit) - 1
+        if at >= len(self.parts):
+            return len(self.text)
+        part = self.parts[at]
+        own = part.most(limit - self.before[at])
+        k = part.start + own
+        if own < len(part.text) or at + 1 == len(self.parts):
+            return k
+        # the special string after it does not fit whole, but parts of it may
+        end = self.parts[at + 1].start
+        return max(j for j in range(k, end) if self.count(j) <= limit)
+
+    def table(self) -> np.ndarray:
+        """Counts of all prefixes, the empty one first."""
+        out = []
+        for i, p in enumerate(self.parts):
+            end = self.parts[i + 1].start if i + 1 < len(self.parts) else len(self.text) + 1
+            out += [p.table() + self.before[i], np.array([self.count(k) for k in range(p.start + len(p.text) + 1, end)], np.int64)]
+        return np.concatenate(out)
 
 
 _load = lru_cache(maxsize=2)(Counter)
@@ -236,36 +365,42 @@ def counter(path: str) -> Counter:
     return claim(_load(path))
 
 
-def token_counts_column(text: Column, path: str) -> Column:
-    """Tokens of each whole text as a long."""
+def token_counts_column(text: Column, path: str, limit: int) -> Column:
+    """Struct of the tokens of each whole text, and the most characters of it that
+    keep within ``limit`` tokens."""
 
-    @F.arrow_udf("long")
+    @F.arrow_udf("n_tokens long, limit_chars long")
     def run(col: pa.Array) -> pa.Array:
-        c = counter(path)
-        return pa.array([c.count(t) for part in texts(col) for t in part], pa.int64())
+        c, n, most = counter(path), [], []
+        for part in texts(col):
+            for t in part:
+                n.append(c.count(t))
+                most.append(len(t or "") if n[-1] <= limit else c.prefixes(t).truncate(limit))
+        return pa.StructArray.from_arrays([pa.array(n, pa.int64()), pa.array(most, pa.int64())], names=["n_tokens", "limit_chars"])
 
     return run.asNondeterministic()(text)
 
 
-def prefix_columns(text: Column, path: str) -> Column:
-    """Struct of word starts and counts before each word: with a word's table
-    they answer any truncation or budget question about the text."""
+def prefix_counts_column(text: Column, path: str) -> Column:
+    """array<int> of the counts of all prefixes of each text, the empty one first:
+    element k + 1 answers what a cut after k characters costs."""
 
-    @F.arrow_udf("starts array<int>, upto array<long>")
+    @F.arrow_udf("array<int>")
     def run(col: pa.Array) -> pa.Array:
-        c, starts, upto = counter(path), [], []
-        for part in texts(col):
-            for t in part:
-                p = c.prefixes(t)
-                starts.append(p.starts)
-                upto.append(p.upto)
-        return pa.StructArray.from_arrays([pa.array(starts, pa.list_(pa.int32())), pa.array(upto, pa.list_(pa.int64()))], names=["starts", "upto"])
+        c = counter(path)
+        return pa.array([c.prefixes(t).table().astype(np.int32) for part in texts(col) for t in part], pa.list_(pa.int32()))
 
     return run.asNondeterministic()(text)
 
 
+def chars_within(prefix_counts: Column, limit: Column | int) -> Column:
+    """Most characters within a limit, from stored prefix counts alone."""
+    limit = F.greatest(F.lit(limit) if isinstance(limit, int) else limit, F.lit(0))
+    return F.array_max(F.transform(prefix_counts, lambda n, k: F.when(n <= limit, k).otherwise(F.lit(0))))
+
+
 def token_counts(docs: DataFrame, path: str, limit: int = 2048, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_bytes, n_tokens, over_limit) of every row of ``docs``."""
+    """(doc_id, n_bytes, n_tokens, over_limit, limit_chars) of every row of ``docs``."""
     text = F.col(f"`{text_col}`")
-    out = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.coalesce(F.octet_length(text), F.lit(0)).cast("long").alias("n_bytes"), token_counts_column(text, path).alias("n_tokens"))
-    return out.withColumn("over_limit", F.col("n_tokens") > limit)
+    out = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.coalesce(F.octet_length(text), F.lit(0)).cast("long").alias("n_bytes"), token_counts_column(text, path, limit).alias("x"))
+    return out.select("doc_id", "n_bytes", "x.n_tokens", (F.col("x.n_tokens") > limit).alias("over_limit"), "x.limit_chars")

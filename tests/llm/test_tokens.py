@@ -119,22 +119,37 @@ def test_counts_over_all_of_unicode(counter, library):
         assert counter.count(t) == library(t), ascii(t)
 
 
-def test_every_prefix(counter, library):
-    for t in ["Don't re-encode: it's the 22nd TEXT'RE of ñandú!!", *random_texts(10, 6)]:
-        p = counter.prefixes(t)
-        for k in range(len(p.text) + 1):
-            assert p.count(k) == library(p.text[:k]), (t, k)
+HARD = [
+    "Don't re-encode: it's the 22nd TEXT'RE of ñandú!! 've 'll'", "cafe\u0301 na\u0308\u0323ive \u1100\u1161\u11a8 \u0958x", "İstanbul ΣΑΣ ΟΔΟΣ", "a<|endoftext|>b c<|startoftext|> <|endoftext|><|endoftext|>x<|endof",
+    "x\u0301" * 20 + " e\u0301<|endoftext|>\u0301a", "  lead and trail \x1c\x85　 ", "Ǆ ﬁ ½ Å \u212b 日本語 \U0001d518",
+]
 
 
-def test_truncation(counter, library):
-    for t in random_texts(10, 7):
-        p = counter.prefixes(t)
-        counts = [p.count(k) for k in range(len(p.text) + 1)]
-        for limit in (0, 1, 5, 9, 10_000):
-            k = p.truncate(limit)
-            assert counts[k] <= limit
-            whole = [j for j, n in enumerate(p.upto) if n <= limit][-1]
-            assert whole == len(p.words) and k == len(p.text) or all(counts[j] > limit for j in range(k + 1, min(len(counts), p.starts[whole] + len(p.words[whole]) + 1)))
+def test_every_prefix(counter, library):
+    """Each prefix of the text as it is given, special strings included."""
+    for t in ["", *HARD, *random_texts(25, 6)]:
+        p, want = counter.prefixes(t), [library(t[:k]) for k in range(len(t) + 1)]
+        assert [p.count(k) for k in range(len(t) + 1)] == want, ascii(t)
+        assert p.table().tolist() == want, ascii(t)
+        assert p.total == want[-1] == counter.count(t)
+        for limit in (-1, 0, 1, 2, 5, 9, want[-1], 10_000):
+            assert p.truncate(limit) == max(k for k, n in enumerate(want) if n <= max(limit, 0)), (ascii(t), limit)
+
+
+def test_tables_of_long_words_are_linear(counter, library):
+    import time
+
+    rng, took = random.Random(3), {}
+    for n in (20_000, 160_000):
+        word = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+        began = time.perf_counter()
+        table = counter._table(word)
+        took[n] = time.perf_counter() - began
+        for k in (1, 2, n // 3, n):
+            if k <= 20_000:
+                assert table[k] == library(word[:k])
+    assert took[160_000] < 8 * 4 * took[20_000] + 0.5
+    assert counter.count("é" * 5000 + "😀" * 3000) == library("é" * 5000 + "😀" * 3000)
 
 
 def test_count_columns(spark, counter):
@@ -144,6 +159,16 @@ def test_count_columns(spark, counter):
         assert (out[i]["n_bytes"], out[i]["n_tokens"]) == (len((t or "").encode()), counter.count(t)) and out[i]["over_limit"] == (counter.count(t) > 2048)
     from pyspark.sql import functions as F
 
-    row = d.filter("doc_id = 7").select(token_counts.prefix_columns(F.col("text"), TOKENIZER).alias("p")).first()["p"]
-    assert row["upto"][-1] == counter.count(TEXTS[7]) and len(row["starts"]) + 1 == len(row["upto"])
+    for i, t in enumerate([*TEXTS, None, "w " * 3000]):
+        assert out[i]["limit_chars"] == counter.prefixes(t).truncate(2048)
+    stored = d.select("doc_id", "text", token_counts.prefix_counts_column(F.col("text"), TOKENIZER).alias("p"))
+    for r in stored.select("*", token_counts.chars_within(F.col("p"), 5).alias("k")).collect():
+        assert r["p"] == counter.prefixes(r["text"]).table().tolist() and r["k"] == counter.prefixes(r["text"]).truncate(5)
     assert token_counts.token_counts(d.limit(0), TOKENIZER).count() == 0
+
+
+def test_very_long_words_round_trip(counter, library):
+    c = sentencepiece_codec.codec(MODEL)
+    rng = random.Random(11)
+    for t in ("ab" * 50_000, "".join(rng.choice("abcdefgh") for _ in range(60_000)), "é" * 20_000, " " * 30_000 + "x"):
+        assert c.decode(c.encode(t)) == t
