@@ -8,8 +8,11 @@ the upper threshold and closes when it falls under the lower one. Each segment
 becomes patches of a fixed number of frames, kept as an Arrow fixed-shape tensor
 column beside the start and end time of the frames that are real.
 
-All levels are rounded to 1/16 dB steps as integers, so equal payloads give equal
-features on any machine that follows IEEE arithmetic to some bits less.
+The tensors are stored as an Arrow IPC stream in a column of their own, and what is
+said of a clip is derived from that stream read back. Levels are rounded to 1/16 dB.
+Samples and taps are integers whose sums of products are exact in double precision,
+so resampling is the same on any machine; transforms and logarithms are those of the
+library at hand, so equal payloads have equal features wherever it is the same.
 
 Defined results: a null or empty text is the payload of 64 zero bytes; payloads
 of any length are processed whole, a block of frames at a time; repeated rows
@@ -31,6 +34,8 @@ from pyspark.sql import functions as F
 from palimpsest.llm._shared import texts
 
 UNIT = 64
+#: Steps of the resampler's taps.
+TAP_BITS = 20
 #: Sampling rate stored and the rate features see: up by 5, down by 8.
 RATE, UP, DOWN = 16_000, 5, 8
 FRAME, HOP, BANDS = 256, 128, 32
@@ -77,24 +82,25 @@ def read_wav(media: bytes) -> tuple[int, bytes]:
 
 @lru_cache(maxsize=4)
 def phases(up: int, down: int, half: int = 8) -> np.ndarray:
-    """Taps of each phase: a windowed sinc at the lower of the two rates."""
+    """Taps of each phase: a windowed sinc at the lower of the two rates, in steps of 2^-TAP_BITS."""
     wide = half * max(up, down)
     t = np.arange(-wide, wide + 1)
     cut = 1.0 / max(up, down)
     taps = np.sinc(t * cut) * cut * np.kaiser(len(t), 8.0) * up
     width = -(-len(taps) // up)
-    return np.concatenate([taps, np.zeros(width * up - len(taps))]).reshape(width, up).T.astype(np.float32)
+    return np.rint(np.concatenate([taps, np.zeros(width * up - len(taps))]).reshape(width, up).T * (1 << TAP_BITS))
 
 
 def resample(x: np.ndarray, up: int = UP, down: int = DOWN) -> np.ndarray:
-    """Polyphase resampling: output n is phase (n * down + lead) % up over the inputs before it."""
+    """Polyphase resampling of integers, exact, in steps of 2^-TAP_BITS: output n is
+    phase (n * down + lead) % up over the inputs before it."""
     bank = phases(up, down)
     width = bank.shape[1]
     lead = (bank.size - 1) // 2
     n = -(-len(x) * up // down)
-    padded = np.concatenate([np.zeros(width, np.float32), x.astype(np.float32), np.zeros(width + lead // up + 1, np.float32)])
+    padded = np.concatenate([np.zeros(width), x.astype(np.float64), np.zeros(width + lead // up + 1)])
     views = np.lib.stride_tricks.sliding_window_view(padded, width)
-    out = np.empty(n, np.float32)
+    out = np.empty(n)
     for r in range(min(up, n)):
         # outputs r, r + up, ... use one phase and inputs `down` apart
         place = r * down + lead
@@ -120,8 +126,8 @@ HANN = (0.5 - 0.5 * np.cos(2 * np.pi * np.arange(FRAME) / FRAME)).astype(np.floa
 
 def log_mel(samples: bytes, rate: int = RATE) -> tuple[np.ndarray, np.ndarray]:
     """(levels, energy): int16 of frames x bands and of frames, in 1/16 dB."""
-    x = (np.frombuffer(samples, np.uint8).astype(np.float32) - 128.0) / 128.0
-    y = resample(x)
+    x = np.frombuffer(samples, np.uint8).astype(np.int16) - 128
+    y = (resample(x) / (128 << TAP_BITS)).astype(np.float32)
     frames = max(1, -(-(len(y) - FRAME) // HOP) + 1)
     y = np.concatenate([y, np.zeros(max(0, (frames - 1) * HOP + FRAME - len(y)), np.float32)])
     views = np.lib.stride_tricks.sliding_window_view(y, FRAME)[::HOP][:frames]
@@ -153,31 +159,33 @@ def segments(energy: np.ndarray) -> list[tuple[int, int]]:
     return [(int(a), int(b)) for a, b in zip(edges[::2], edges[1::2])]
 
 
-def patches(levels: np.ndarray, spans: list[tuple[int, int]], rate: int = RATE) -> tuple[np.ndarray, np.ndarray]:
-    """(tensors, times): each span cut into PATCH frames, the last filled up with
-    the floor, and the seconds at which the real frames start and end."""
-    tensors, times = [], []
+def patches(levels: np.ndarray, spans: list[tuple[int, int]], rate: int = RATE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(tensors, times, segments): each span cut into PATCH frames, the last filled
+    up with the floor, the seconds at which the real frames start and end, and the
+    number of the span."""
+    tensors, times, of = [], [], []
     step, wide = HOP * DOWN / UP / rate, FRAME * DOWN / UP / rate
-    for a, b in spans:
+    for k, (a, b) in enumerate(spans):
         for at in range(a, b, PATCH):
             to = min(at + PATCH, b)
             patch = np.full((PATCH, BANDS), -16 * 40, np.int16)
             patch[: to - at] = levels[at:to]
             tensors.append(patch)
             times.append((at * step, (to - 1) * step + wide))
-    return np.array(tensors, np.int16).reshape(-1, PATCH, BANDS), np.array(times, np.float64).reshape(-1, 2)
+            of.append(k)
+    return np.array(tensors, np.int16).reshape(-1, PATCH, BANDS), np.array(times, np.float64).reshape(-1, 2), np.array(of, np.int32)
 
 
 TENSOR = pa.fixed_shape_tensor(pa.int16(), (PATCH, BANDS))
 
 
-def tensor_table(tensors: np.ndarray, times: np.ndarray) -> pa.Table:
-    """Arrow table (mel: fixed-shape tensor, start, end): a row a patch."""
+def tensor_table(tensors: np.ndarray, times: np.ndarray, of: np.ndarray) -> pa.Table:
+    """Arrow table (mel: fixed-shape tensor, start, end, segment): a row a patch."""
     if len(tensors):
         column = pa.FixedShapeTensorArray.from_numpy_ndarray(np.ascontiguousarray(tensors))
     else:
         column = pa.ExtensionArray.from_storage(TENSOR, pa.array([], TENSOR.storage_type))
-    return pa.table({"mel": column, "start": pa.array(times[:, 0]), "end": pa.array(times[:, 1])})
+    return pa.table({"mel": column, "start": pa.array(times[:, 0]), "end": pa.array(times[:, 1]), "segment": pa.array(of)})
 
 
 def to_ipc(table: pa.Table) -> bytes:
@@ -191,11 +199,11 @@ def from_ipc(data: bytes) -> pa.Table:
     return pa.ipc.open_stream(data).read_all()
 
 
-def features(media: bytes) -> tuple[np.ndarray, np.ndarray, list[tuple[int, int]]]:
+def features(media: bytes) -> pa.Table:
+    """The patches of a WAV file, with their time spans."""
     rate, samples = read_wav(media)
     levels, energy = log_mel(samples, rate)
-    spans = segments(energy)
-    return (*patches(levels, spans, rate), spans)
+    return tensor_table(*patches(levels, segments(energy), rate))
 
 
 def media_column(text: Column) -> Column:
@@ -213,40 +221,48 @@ def tensor_column(media: Column) -> Column:
 
     @F.arrow_udf("binary")
     def run(col: pa.Array) -> pa.Array:
-        out = [None if m is None else to_ipc(tensor_table(*features(m)[:2])) for part in texts(col) for m in part]
+        out = [None if m is None else to_ipc(features(m)) for part in texts(col) for m in part]
         return pa.array(out, pa.binary())
 
     return run.asNondeterministic()(media)
 
 
-def digest(media: bytes, n_bytes: int) -> dict:
-    """The contract's values, all from the stored bytes read back."""
+def digest(media: bytes, mel: bytes, n_bytes: int) -> dict:
+    """The contract's values, all from the stored bytes of media and tensors read back."""
     _, samples = read_wav(media)
-    tensors, times, spans = features(media)
+    table = from_ipc(mel).combine_chunks()
+    column = table.column("mel").combine_chunks()
+    tensors = column.to_numpy_ndarray() if table.num_rows else np.empty((0, PATCH, BANDS), np.int16)
+    times = np.stack([table.column("start").to_numpy(), table.column("end").to_numpy()], 1)
+    of = table.column("segment").to_numpy()
     mean = np.rint(tensors.mean((0, 1))).astype(int).tolist() if len(tensors) else []
     h = hashlib.sha256(tensors.astype("<i2").tobytes() + np.rint(times * 1e6).astype("<i8").tobytes()).hexdigest()
     return {
         "n_bytes": n_bytes, "payload_bytes": len(samples), "payload_sha256": hashlib.sha256(samples).hexdigest(), "tail_crc32": zlib.crc32(samples[-UNIT:]),
         "media_bytes": len(media), "media_sha256": hashlib.sha256(media).hexdigest(),
-        "feature": f"segments={len(spans)};patches={len(tensors)};mean={','.join(map(str, mean))};sha256={h}",
+        "feature": f"segments={len(set(of.tolist()))};patches={len(tensors)};mean={','.join(map(str, mean))};sha256={h}",
     }
 
 
 DIGEST = pa.struct([("n_bytes", pa.int64()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string())])
 
 
-def digest_column(media: Column, n_bytes: Column) -> Column:
+def digest_column(media: Column, mel: Column, n_bytes: Column) -> Column:
+    """Struct of DIGEST from the stored columns."""
+
     @F.arrow_udf("n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
-    def run(col: pa.Array, sizes: pa.Array) -> pa.Array:
+    def run(files: pa.Array, tensors: pa.Array, sizes: pa.Array) -> pa.Array:
         rows = []
-        for part in texts(col):
-            rows += [digest(m, n) for m, n in zip(part, sizes.slice(len(rows), len(part)).to_pylist())]
+        for m, t in zip(texts(files), texts(tensors)):
+            rows += map(digest, m, t, sizes.slice(len(rows), len(m)).to_pylist())
         return pa.array(rows, DIGEST)
 
-    return run.asNondeterministic()(media, n_bytes)
+    return run.asNondeterministic()(media, mel, n_bytes)
 
 
 def audio_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, media, n_bytes): the media column of every row of ``docs``."""
+    """(doc_id, media, mel, n_bytes) of every row of ``docs``: the WAV file and the
+    stream of its tensors and time spans."""
     text = F.col(f"`{text_col}`")
-    return docs.select(F.col(f"`{id_col}`").alias("doc_id"), media_column(text).alias("media"), F.coalesce(F.octet_length(text), F.lit(0)).cast("long").alias("n_bytes"))
+    out = docs.select(F.col(f"`{id_col}`").alias("doc_id"), media_column(text).alias("media"), F.coalesce(F.octet_length(text), F.lit(0)).cast("long").alias("n_bytes"))
+    return out.select("doc_id", "media", tensor_column(F.col("media")).alias("mel"), "n_bytes")

@@ -32,7 +32,7 @@ def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     media = audio.audio_documents(table(spark, sf_dir, "documents"))
-    return media.select("doc_id", audio.digest_column(F.col("media"), F.col("n_bytes")).alias("x")).select("doc_id", "x.*")
+    return media.select("doc_id", audio.digest_column(F.col("media"), F.col("mel"), F.col("n_bytes")).alias("x")).select("doc_id", "x.*")
 
 
 def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -44,8 +44,7 @@ def op7_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
-    return mixing.mix(docs).select("doc_id", "size", "source_size", "target", "taken")
+    return mixing.mix(table(spark, sf_dir, "documents"), keep=["doc_id"]).select("doc_id", "size", "source_size", "target", "taken")
 
 
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
