@@ -11,8 +11,9 @@ one row a bucket (a parameter) whatever the corpus is.
 
 Defined results: a null or empty text has no words, fails the base rules and
 scores 0; labels without id or value are ignored, of several labels of one id
-the largest counts; with no label at all the target is uniform up to the raw
-counts' smoothing; an empty table gives an empty one.
+the largest counts; repeated rows count as often as they are there; texts of any
+length are read whole; with no label at all the target is uniform up to the raw
+counts' smoothing; an empty table gives an empty one. Extra columns are not read.
 """
 
 from __future__ import annotations
@@ -25,7 +26,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm._shared import texts
+from palimpsest.llm._shared import materialize, texts
+from palimpsest.operators import filters
 
 #: Characters that count as symbols, and those that end words.
 SYMBOLS = "#*$%&|<>"
@@ -125,16 +127,27 @@ def _count(bits: int):
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality",
-        bits: int = 16, smoothing: float = 1.0) -> np.ndarray:
-    """Log-ratio of each bucket, float64 of 2^bits. Reads all documents once and
-    deals them by id to meet their labels; one row a bucket comes back."""
+        bits: int = 16, smoothing: float = 1.0, broadcast_ids: int = 1_000_000) -> np.ndarray:
+    """Log-ratio of each bucket, float64 of 2^bits; one row a bucket comes back.
+
+    Texts are counted where they are read. Up to ``broadcast_ids`` trusted ids are
+    counted first and then sent to every task, which takes one scan and shuffles
+    no text. More ids than that are met by a second scan, of which a Bloom filter of
+    bounded size (see :mod:`palimpsest.operators.filters`) lets the trusted texts and
+    few others go on to an exact join; the counts are the same."""
     good = labels.filter(F.col(f"`{label_col}`").isNotNull() & F.col(f"`{id_col}`").isNotNull())
-    good = good.groupBy(F.col(f"`{id_col}`").alias("label_id")).agg(F.max(f"`{label_col}`").alias("q")).filter("q = 1").select("label_id")
-    # labels grow with the documents, so they are dealt in one way at every size
-    good = good.hint("shuffle_hash")
-    rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text")).filter("text IS NOT NULL")
-    rows = rows.join(good, F.col("id") == F.col("label_id"), "left").select("text", F.col("label_id").isNotNull().alias("trusted"))
-    sums = rows.mapInArrow(_count(bits), "bucket int, raw long, target long").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target"))
+    good = good.groupBy(F.col(f"`{id_col}`").alias("key")).agg(F.max(f"`{label_col}`").alias("q")).filter("q = 1").select("key")
+    good = materialize(good, "quality-trusted")
+    rows = docs.select(F.col(f"`{id_col}`").alias("key"), F.col(f"`{text_col}`").alias("text")).filter("text IS NOT NULL")
+    count = lambda d: d.mapInArrow(_count(bits), "bucket int, raw long, target long")
+    if good.count() <= broadcast_ids:
+        trusted = F.broadcast(good.withColumnRenamed("key", "label_id"))
+        found = count(rows.join(trusted, F.col("key") == F.col("label_id"), "left").select("text", F.col("label_id").isNotNull().alias("trusted")))
+    else:
+        found = count(rows.select("text", F.lit(False).alias("trusted")))
+        own = count(filters.bloom_semi(rows, good).select("text", F.lit(True).alias("trusted")))
+        found = found.unionByName(own.withColumn("raw", F.lit(0).cast("long")))
+    sums = found.groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target"))
     raw, target = np.zeros(1 << bits), np.zeros(1 << bits)
     for bucket, r, t in sums.collect():  # 2^bits rows at most
         raw[bucket], target[bucket] = r, t
