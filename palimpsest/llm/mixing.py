@@ -12,8 +12,12 @@ Defined results: a null text has size 0 and takes nothing; a null source is a
 source of its own, last in order; an empty table gives an empty one; the hash
 covers id and text, so copies under other ids are told apart, and rows that are
 equal in id, text and source are told apart only as a count (they are
-interchangeable). Extra input columns are kept, and added columns replace those
-of the same name.
+interchangeable); texts of any length are counted whole. Extra input columns are
+kept, and added columns replace those of the same name.
+
+Bounds: targets are found in windows that see one row a source, in one task, and
+a histogram has 4,096 rows a source; rows that repeat at the very cut of a source,
+where some but not all of them are taken, are numbered in one task.
 """
 
 from __future__ import annotations
@@ -83,10 +87,11 @@ def plan_mix(rows: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: float =
     for level in range(LEVELS):
         budget = plan.select(F.col("source").alias("s"), "rest", "prefix")
         shift = 64 - LEVEL_BITS * level
-        inside = _same(F.col("source"), F.col("s")) & (F.col("rest") > 0)
         if level:
-            inside = inside & (F.shiftrightunsigned("h", shift) == F.col("prefix"))
-        counted = open_rows.withColumn("b", _bucket(level)) if level == 0 else open_rows.join(budget, inside).withColumn("b", _bucket(level))
+            # only the rows of the boundary buckets go on: a table of its own, one in 2^LEVEL_BITS of the rows before
+            inside = _same(F.col("source"), F.col("s")) & (F.col("rest") > 0) & (F.shiftrightunsigned("h", shift) == F.col("prefix"))
+            open_rows = materialize(open_rows.join(budget, inside).select("source", "size", "h"), "mix-open")
+        counted = open_rows.withColumn("b", _bucket(level))
         # each task sums by (source, bucket) before the shuffle
         bins = counted.groupBy("source", "b").agg(F.sum("size").alias("size"))
         running = Window.partitionBy("source").orderBy("b").rowsBetween(Window.unboundedPreceding, 0)
@@ -122,12 +127,14 @@ def plan_mix(rows: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: float =
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
-        weights: tuple[int, ...] = (1, 2, 3), cap: float = 3.0) -> DataFrame:
-    """All rows of ``docs`` with size, source_size, target, copies and taken.
+        weights: tuple[int, ...] = (1, 2, 3), cap: float = 3.0, keep: list[str] | None = None) -> DataFrame:
+    """All rows of ``docs`` with size, source_size, target, copies and taken, and
+    the columns ``keep`` (all, if not given).
 
-    ``copies`` is how often the mix repeats a row, ``taken`` is copies * size."""
+    ``copies`` is how often the mix repeats a row, ``taken`` is copies * size.
+    Where the text is not kept, it is read once: what is left of a row is written."""
     added = ("size", "source_size", "target", "copies", "taken")
-    keep = [c for c in docs.columns if c.lower() not in added or c in (id_col, text_col, source_col)]
+    keep = [c for c in docs.columns if (keep is None or c in keep) and (c.lower() not in added or c in (id_col, text_col, source_col))]
     kept = {c: fresh_name([*docs.columns, *added, "source", "h", "s", "cut", "ties", "n", "passes", "nth"], f"c{i}_") for i, c in enumerate(keep)}
     base = docs.select(
         *[F.col(f"`{c}`").alias(kept[c]) for c in keep],
@@ -135,7 +142,11 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
         word_count(F.col(f"`{text_col}`")).alias("size"),
         F.xxhash64(F.col(f"`{id_col}`"), F.col(f"`{text_col}`")).alias("h"),
     )
-    rows = materialize(base.select("source", "size", "h"), "mix-rows")
+    if text_col not in keep:
+        base = materialize(base, "mix-rows")
+        rows = base.select("source", "size", "h")
+    else:
+        rows = materialize(base.select("source", "size", "h"), "mix-rows")
     plan = materialize(plan_mix(rows, weights, cap).withColumnRenamed("source", "s"), "mix-plan")
     # unsigned order of the hash is signed order with the top bit turned
     turn = F.lit(-(1 << 63))

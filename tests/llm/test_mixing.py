@@ -52,6 +52,34 @@ def test_each_source_comes_near_its_target(spark):
     assert sorted(map(tuple, run(spark, rows[::-1]))) == sorted(map(tuple, out))
 
 
+def brute_copies(rows):
+    """Copies of (source, size, unsigned hash): sort by hash and cut at the budget."""
+    sizes = {}
+    for source, size, _ in rows:
+        sizes[source] = sizes.get(source, 0) + size
+    target, out = brute_targets(sizes), {}
+    for source, total in sizes.items():
+        passes = int(target[source] // total) if total else 0
+        rest, before = target[source] - passes * total, 0
+        for _, size, h in sorted((r for r in rows if r[0] == source), key=lambda r: r[2]):
+            more = size > 0 and before < rest and (before + size <= rest or int((rest - before) / size + 0.5) == 1)
+            out[source, h] = (passes if size else 0) + more
+            before += size
+    return out
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_rows_are_those_of_sorting_and_cutting(spark, seed):
+    import random
+
+    rng = random.Random(seed)
+    rows = [(i, "w " * rng.choice([0, 1, 5, 40, 2000]), rng.choice(["a"] * 6 + ["b", "c", None])) for i in range(700)]
+    d = spark.createDataFrame(rows, SCHEMA).withColumn("own_hash", F.xxhash64("doc_id", "text"))
+    for out in (mixing.mix(d).collect(), mixing.mix(d, keep=["doc_id", "own_hash", "source"]).collect()):
+        got = {(r["source"], r["own_hash"] & (1 << 64) - 1): r["copies"] for r in out}
+        assert got == brute_copies([(r["source"], r["size"], r["own_hash"] & (1 << 64) - 1) for r in out]) and len(got) == 700
+
+
 def test_words_are_those_of_the_pattern(spark):
     texts = ["a b\tc\nd\x0be\x0cf\rg", "   x", "", "   ", None, "a\x1cb\x85c"]
     d = spark.createDataFrame([(t,) for t in texts], "text string").select(mixing.word_count(F.col("text")))
