@@ -39,6 +39,12 @@ from palimpsest.llm._shared import fresh_name, materialize, texts
 BITS = 64
 #: Most bits that a mask of the first and one of the second family leave free.
 FREE_BITS = 22
+#: Distinct fingerprints of a bucket that one search links. Those of a bucket above
+#: it enter the second family: a row of each of its 31 masks, for each first mask
+#: under which it lies in so large a bucket.
+BUCKET_ROWS = 32_768
+#: Parts of a group that meets by its key.
+SALTS = 64
 #: Shingles whose bits are counted at a time: 64 MB of bytes.
 CHUNK = 1 << 16
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
@@ -159,7 +165,7 @@ def _link_runs(radius: int, bucket_rows: int):
     return run
 
 
-def links(prints: DataFrame, radius: int = 4, bucket_rows: int = 8192) -> DataFrame:
+def links(prints: DataFrame, radius: int = 4, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """Distinct links (a, b) between the distinct fingerprints of ``prints`` (fp
     long) whose components are those of all pairs within the radius."""
     todo, found = prints.select("fp", F.lit("").alias("path")), None
@@ -175,6 +181,8 @@ def links(prints: DataFrame, radius: int = 4, bucket_rows: int = 8192) -> DataFr
         todo = made.filter("b IS NULL").select(F.col("a").alias("fp"), "path")
         if todo.isEmpty():
             break
+    else:
+        raise AssertionError("two masks leave at most FREE_BITS bits free, so no bucket of the second family is longer")
     return materialize(found.distinct(), "simhash-links")
 
 
@@ -204,27 +212,46 @@ def join_components(edges: DataFrame, label: str = "components") -> DataFrame:
 
 
 def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 4,
-               bucket_rows: int = 8192, width: int = 4) -> DataFrame:
+               bucket_rows: int = BUCKET_ROWS, width: int = 4) -> DataFrame:
     """(doc_id, fp, component_id) for each row of ``docs``."""
     own = docs.select(F.col(f"`{id_col}`").alias("doc_id"), fingerprint_column(F.col(f"`{text_col}`"), width).alias("fp"))
     own = materialize(own, "simhash-prints")
     return label_components(own, radius, bucket_rows).select("doc_id", "fp", "component_id")
 
 
-def label_components(own: DataFrame, radius: int = 4, bucket_rows: int = 8192) -> DataFrame:
+def _spread(rows: DataFrame, by: Column) -> DataFrame:
+    """``rows`` with a column ``salt`` that cuts each group of them in SALTS."""
+    return rows.withColumn("salt", F.pmod(F.xxhash64(by), F.lit(SALTS)).cast("int"))
+
+
+def least_of_group(rows: DataFrame, group: str, by: str, value: str, into: str) -> DataFrame:
+    """Each row of ``rows`` with the least ``value`` of its group, found and handed
+    back by (group, salt): a group of any size is SALTS rows where it meets as a whole."""
+    own = _spread(rows, F.col(by))
+    part = own.groupBy(group, "salt").agg(F.min(value).alias("part"))
+    whole = part.groupBy(F.col(group).alias("of")).agg(F.min("part").alias(into))
+    back = part.join(whole, F.col(group) == F.col("of")).select("of", F.col("salt").alias("of_salt"), into)
+    return own.join(back, (F.col(group) == F.col("of")) & (F.col("salt") == F.col("of_salt"))).drop("of", "of_salt", "salt")
+
+
+def label_components(own: DataFrame, radius: int = 4, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """component_id, the smallest doc_id reachable, and root, a fingerprint that
-    names the component, for rows (doc_id, fp, ...)."""
-    nodes = materialize(own.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-nodes")
+    names the component, for rows (doc_id, fp, ...). Rows of one fingerprint and
+    fingerprints of one component may be a third of all: both meet salted."""
+    own = _spread(own, F.col("doc_id"))
+    pairs = materialize(own.groupBy("fp", "salt").agg(F.min("doc_id").alias("least")), "simhash-pairs")
+    nodes = materialize(pairs.groupBy("fp").agg(F.min("least").alias("least")), "simhash-nodes")
     roots = join_components(links(nodes.select("fp"), radius, bucket_rows), "simhash-components")
     linked = nodes.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    linked = materialize(linked, "simhash-roots")
-    least = linked.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = linked.join(least, "root").select(F.col("fp").alias("of"), "component_id", "root")
-    return own.join(named, F.col("fp") == F.col("of")).drop("of")
+    linked = materialize(linked, "simhash-linked")
+    named = materialize(least_of_group(linked, "root", "fp", "least", "component_id"), "simhash-roots")
+    named = pairs.select("fp", "salt").join(named.select(F.col("fp").alias("of"), "component_id", "root"), F.col("fp") == F.col("of"))
+    named = named.select("of", F.col("salt").alias("of_salt"), "component_id", "root")
+    return own.join(named, (F.col("fp") == F.col("of")) & (F.col("salt") == F.col("of_salt"))).drop("of", "of_salt", "salt")
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 4,
-                bucket_rows: int = 8192) -> DataFrame:
+                bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """The rows of ``docs`` with one of each component: that of the smallest id.
     Of rows with that id and several fingerprints the least one stays, of
     repeated rows one; rows without an id stay only where their component has no

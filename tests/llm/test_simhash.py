@@ -136,3 +136,36 @@ def test_long_chain(spark):
     d = spark.createDataFrame([(i, i + 1) for i in range(200)] + [(500, 500), (700, 701)], "a long, b long")
     got = {r["node"]: r["root"] for r in simhash.join_components(d).collect()}
     assert all(got[i] == 0 for i in range(1, 201)) and got[701] == 700 and 500 not in got
+
+
+def test_two_families_leave_few_bits_free():
+    """The bound on a bucket of the second family."""
+    for radius in (1, 2, 4):
+        first, second = (np.array(simhash.covering_masks(radius, k), np.int64).view(np.uint64) for k in (0, 1))
+        free = np.bitwise_count(~first[:, None] & ~second[None, :]).max()
+        assert radius < 4 or free == simhash.FREE_BITS
+
+
+def test_least_of_a_hot_group(spark):
+    rows = [("hot", i, 5000 - i) for i in range(3000)] + [(f"g{i % 50}", i, i) for i in range(3000, 3200)] + [("none", 9999, None)]
+    d = spark.createDataFrame(rows, "g string, n long, v long")
+    least = {}
+    for g, _, v in rows:
+        least[g] = v if g not in least or v < least[g] else least[g]
+    got = simhash.least_of_group(d, "g", "n", "v", "m").collect()
+    assert {(r["g"], r["n"], r["v"], r["m"]) for r in got} == {(*r, least[r[0]]) for r in rows} and len(got) == len(rows)
+
+
+def test_copies_and_near_copies_by_the_thousand(spark):
+    """A third of all rows of one text, a third in one component."""
+    rng = random.Random(4)
+    base = [f"w{rng.randrange(9999)}" for _ in range(300)]
+    rows = [(i, " ".join(base)) for i in range(600)]
+    for i in range(600):
+        own = list(base)
+        own[rng.randrange(300)] = f"x{i}"
+        rows.append((1000 + i, " ".join(own)))
+    rows += [(2000 + i, " ".join(f"y{rng.randrange(9999)}" for _ in range(30))) for i in range(600)]
+    out = simhash.components(spark.createDataFrame(rows, SCHEMA)).collect()
+    want = brute_components([(r["doc_id"], r["fp"] & (1 << 64) - 1) for r in out])
+    assert {(r["doc_id"], r["fp"] & (1 << 64) - 1): r["component_id"] for r in out} == want and len(out) == 1800
