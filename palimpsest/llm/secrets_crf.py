@@ -12,13 +12,20 @@ transitions together could change is O on every best path, so the chain falls
 apart there and Viterbi runs only over the stretches between such words; the
 result is that of Viterbi over the whole text.
 
-The field is fitted to words marked by the patterns, on windows of at most
-``max_docs`` texts with and as many without a pattern (a documented bound, those
-of the smallest hash), with secrets also swapped for random ones of other
-shapes, so that it learns shapes and contexts that the patterns lack.
-
-Defined results: a null or empty text has no spans; a corpus without any
-pattern gives a field that adds nothing; repeated rows get equal results.
+The field is fitted to words marked by the patterns, in windows of words around
+them, around words that look alike but are not marked, and around any. Every text
+and every word is eligible, whatever its length: of all texts the ``max_docs`` with
+and as many without a pattern whose hash is smallest are read whole, and of all
+their windows the ``max_windows`` of each of the three kinds whose hash is smallest
+are taken. These are the bounds of the sample; a window leaves a text as shapes and
+tags. Secrets are also swapped for random ones of other shapes and behind other
+keywords, so that the field learns shapes and contexts that the patterns lack.
+
+Defined results: a null or empty text has no spans; texts and words of any length
+are scanned whole, in time linear in them; of overlapping spans those of the
+patterns stay and the field's go; a corpus without any pattern gives a field that
+adds nothing; repeated rows get equal results; an empty table gives an empty one.
+Extra columns are kept by ``redact`` and not read by ``scan``; null texts stay null.
 """
 
 from __future__ import annotations
@@ -32,6 +39,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -160,15 +168,20 @@ class Field:
 
 def viterbi(scores: np.ndarray, moves: np.ndarray) -> list[int]:
     """Best tags of one chain; of equal paths the lowest tags last to first."""
-    best, back = scores[0], []
-    for row in scores[1:]:
-        ways = best[:, None] + moves
-        at = ways.argmax(0)
+    rows, m = scores.tolist(), moves.tolist()
+    best, back = rows[0], []
+    for row in rows[1:]:
+        at, new = [], []
+        for t in range(3):
+            ways = (best[0] + m[0][t], best[1] + m[1][t], best[2] + m[2][t])
+            k = 0 if ways[0] >= ways[1] and ways[0] >= ways[2] else 1 if ways[1] >= ways[2] else 2
+            at.append(k)
+            new.append(ways[k] + row[t])
         back.append(at)
-        best = ways[at, range(3)] + row
-    out = [int(best.argmax())]
+        best = new
+    out = [best.index(max(best))]
     for at in reversed(back):
-        out.append(int(at[out[-1]]))
+        out.append(at[out[-1]])
     return out[::-1]
 
 
@@ -255,14 +268,35 @@ def tagged_spans(text: str, words: list[bytes], tags: dict[int, int]) -> list[tu
     return out
 
 
+def joined(spans: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
+    """Stretches (start, end) that sorted spans cover, apart from one another."""
+    out: list[list[int]] = []
+    for a, _, b in spans:
+        if out and a < out[-1][1]:
+            out[-1][1] = max(out[-1][1], b)
+        else:
+            out.append([a, b])
+    return [(a, b) for a, b in out]
+
+
+def apart(own: list[tuple[int, int]], taken: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Of sorted stretches those that meet none of other sorted stretches."""
+    out, k = [], 0
+    for a, b in own:
+        while k < len(taken) and taken[k][1] <= a:
+            k += 1
+        if k == len(taken) or taken[k][0] >= b:
+            out.append((a, b))
+    return out
+
+
 def find(text: str, tagger: Tagger) -> list[tuple[int, int, int]]:
     """All spans (start, kind, end), sorted: the patterns' and those the field adds."""
     spans = base_spans(text)
     words = text.encode("utf-8", "surrogatepass").split()
     tags = tagger.tags(words, text)
     if tags:
-        taken = [(a, b) for a, _, b in spans]
-        spans = sorted(spans + [(a, 3, b) for a, b in tagged_spans(text, words, tags) if not any(a < y and x < b for x, y in taken)])
+        spans = sorted(spans + [(a, 3, b) for a, b in apart(tagged_spans(text, words, tags), joined(spans))])
     return spans
 
 
@@ -270,132 +304,188 @@ def find(text: str, tagger: Tagger) -> list[tuple[int, int, int]]:
 
 
 def _tags_of(text: str, spans: list[tuple[int, int, int]]) -> tuple[list[bytes], list[int]]:
-    words, tags = [], []
-    spans = sorted((a, b) for a, _, b in spans)
+    words, tags, taken, k = [], [], joined(spans), 0
     for m in WORD.finditer(text):
         words.append(m[0].encode("utf-8", "surrogatepass"))
-        inside = next(((a, b) for a, b in spans if a < m.end() and m.start() < b), None)
-        tags.append(O if inside is None else B if m.start() <= inside[0] else I)
+        while k < len(taken) and taken[k][1] <= m.start():
+            k += 1
+        inside = k < len(taken) and taken[k][0] < m.end()
+        tags.append(O if not inside else B if m.start() <= taken[k][0] else I)
     return words, tags
 
 
+KEYS = ("password", "passwd", "pwd", "passphrase", "secret", "client_secret", "token", "auth_token", "api_key", "access_key", "credential", "private_key")
+
+
 def _other_secret(rng: random.Random) -> str:
-    kind = rng.randrange(6)
     letters = string.ascii_letters + string.digits
-    if kind == 0:
-        return "ghp_" + "".join(rng.choices(letters, k=36))
-    if kind == 1:
-        return "AKIA" + "".join(rng.choices(string.ascii_uppercase + string.digits, k=16))
-    if kind == 2:
-        return "".join(rng.choices(letters + "+/", k=rng.randint(28, 60))) + "="
-    if kind == 3:
-        return "sk_live_" + "".join(rng.choices(letters, k=24))
-    if kind == 4:
-        return "eyJhbGciOi" + "".join(rng.choices(letters + "-_", k=rng.randint(20, 60))) + "." + "".join(rng.choices(letters, k=24))
-    return "".join(rng.choices("0123456789abcdef", k=rng.choice((32, 40, 64))))
-
-
-def windows(pairs: list[tuple[str, bool]], length: int, seed: int) -> tuple[list[list[bytes]], np.ndarray, list[tuple[float, ...]]]:
-    """Windows of ``length`` words around marked words, and of plain text."""
-    rng, xs, ys, fs = random.Random(seed), [], [], []
-    for text, _ in pairs:
-        spans = base_spans(text)
-        words, tags = _tags_of(text, spans)
-        if len(words) < length:
-            words, tags = words + [b""] * (length - len(words)), tags + [O] * (length - len(tags))
-        marked = [k for k, t in enumerate(tags) if t == B][:3]
-        feats = file_features(text)
-        hard = [k for k, w in enumerate(words) if tags[k] == O and re.search(rb"[0-9@#$%&|]", w)]
-        places = marked + rng.sample(hard, min(3, len(hard))) + [rng.randrange(len(words)) for _ in range(2)]
-        for k in places:
-            at = min(max(0, k - rng.randint(0, length - 3)), len(words) - length)
-            x, y = words[at : at + length], tags[at : at + length]
-            xs.append(x)
-            ys.append(y)
-            fs.append(feats)
-            if B in y:
-                # the same place with a secret of another shape, and one without its assignment
-                first = y.index(B)
-                run = 1
-                while first + run < length and y[first + run] == I:
-                    run += 1
-                value = _other_secret(rng).encode()
-                lone = x[:first] + [value] + x[first + run :]
-                tags2 = y[:first] + [B] + y[first + run :]
-                pad = length - len(lone)
-                xs.append(lone + [b""] * pad)
-                ys.append(tags2 + [O] * pad)
-                fs.append(feats)
-                if run > 1:
-                    quote = x[first + run - 1][:1] if x[first + run - 1][:1] in (b'"', b"'") else b""
-                    xs.append(x[: first + run - 1] + [quote + value + quote] + x[first + run :])
-                    ys.append(y)
-                    fs.append(feats)
-    return xs, np.array(ys, np.int64).reshape(len(xs), length), fs
-
-
-def _design(xs: list[list[bytes]], length: int) -> np.ndarray:
-    seen: dict[bytes, np.ndarray] = {}
-    out = np.zeros((len(xs), length, SHAPE), np.float32)
-    for i, x in enumerate(xs):
-        for k, w in enumerate(x):
-            if w:
-                row = seen.get(w)
-                if row is None:
-                    row = np.zeros(SHAPE, np.float32)
-                    row[list(shape(w))] = 1
-                    seen[w] = row
-                out[i, k] = row
+    some = lambda chars, n: "".join(rng.choices(chars, k=n))
+    kinds = (
+        lambda: some(string.ascii_lowercase, rng.randint(2, 6)) + rng.choice("-_") + some(letters, rng.randint(20, 40)),
+        lambda: some(string.ascii_uppercase, 4) + some(string.ascii_uppercase + string.digits, rng.choice((16, 20, 28))),
+        lambda: some(letters + "+/", rng.randint(28, 60)) + rng.choice(("", "=", "==")),
+        lambda: some(string.ascii_lowercase, 2) + "_" + some(string.ascii_lowercase, 4) + "_" + some(letters, 24),
+        lambda: "eyJ" + some(letters + "-_", rng.randint(20, 60)) + "." + some(letters + "-_", rng.randint(20, 60)) + "." + some(letters + "-_", 43),
+        lambda: some(rng.choice(("0123456789abcdef", "0123456789ABCDEF")), rng.choice((24, 32, 40, 64))),
+        lambda: "-".join(some(letters, rng.choice((4, 6, 12))) for _ in range(rng.randint(3, 5))),
+    )
+    return rng.choice(kinds)()
+
+
+def _password(rng: random.Random) -> str:
+    return "".join(rng.choices(string.ascii_letters + string.digits * 2 + "!#$%*_.-", k=rng.randint(8, 18)))
+
+
+#: Words of a window, and the kinds of windows: around a marked word, around one
+#: that looks alike but is not marked, and around any.
+LENGTH, NEAR, ALIKE, ANY = 13, 0, 1, 2
+#: Tasks that cut the sample's texts into windows.
+WINDOW_TASKS = 32
+ALIKE_WORD = re.compile(KEYWORD.pattern + rb"|[0-9@#$%&|]")
+WINDOW = pa.schema([("kind", pa.int32()), ("h", pa.int64()), ("shapes", pa.list_(pa.int64())), ("tags", pa.list_(pa.int32())), ("file", pa.list_(pa.float64()))])
+
+
+def _bits(word: bytes) -> int:
+    """A word's shape as a number with a bit a feature; 0 for no word."""
+    return sum(1 << k for k in shape(word)) if word else 0
+
+
+def windows_of(text: str) -> list[dict]:
+    """All windows of a text: one a marked word, one a word that looks alike and one
+    for every 64th word by hash, placed by the hash too."""
+    words, tags = _tags_of(text, base_spans(text))
+    if not words:
+        return []
+    file, seed = list(file_features(text)), xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass"))
+    bits: dict[bytes, int] = {}
+    out = []
+    for k, (w, t) in enumerate(zip(words, tags)):
+        h = xxhash.xxh3_64_intdigest(k.to_bytes(8, "little"), seed)
+        kinds = [NEAR] if t == B else [ALIKE] if t == O and ALIKE_WORD.search(w) else []
+        if h % 64 == 0 or len(words) < 64 and k == seed % len(words):
+            kinds.append(ANY)
+        for kind in kinds:
+            at = min(max(0, k - h // 64 % (LENGTH - 2)), max(0, len(words) - LENGTH))
+            x, y = [bits[w] if w in bits else bits.setdefault(w, _bits(w)) for w in words[at : at + LENGTH]], tags[at : at + LENGTH]
+            pad = LENGTH - len(x)
+            out.append({"kind": kind, "h": h - (1 << 63), "shapes": x + [0] * pad, "tags": y + [O] * pad, "file": file})
+    return out
+
+
+def variants(x: list[int], y: list[int], rng: random.Random) -> list[tuple[list[int], list[int]]]:
+    """A window with its first secret swapped: for one that stands alone, for one
+    behind the same words, for a password behind another keyword, in two words and
+    in one; and that keyword with a plain word, which is none."""
+    if B not in y:
+        return []
+    first = y.index(B)
+    run = 1
+    while first + run < LENGTH and y[first + run] == I:
+        run += 1
+    quoted = 1 << 26
+
+    def put(middle: list[int], tags: list[int]) -> tuple[list[int], list[int]]:
+        a, b = (x[:first] + middle + x[first + run :])[:LENGTH], (y[:first] + tags + y[first + run :])[:LENGTH]
+        return a + [0] * (LENGTH - len(a)), b + [O] * (LENGTH - len(b))
+
+    out = [put([_bits(_other_secret(rng).encode())], [B])]
+    if run > 1:
+        quote = '"' if x[first + run - 1] & quoted else ""
+        out.append(put([*x[first : first + run - 1], _bits((quote + _other_secret(rng) + quote).encode())], [B] + [I] * (run - 1)))
+    key, sep, value = rng.choice(KEYS), rng.choice("=:"), rng.choice((_password, _other_secret))(rng)
+    out.append(put([_bits((key + sep).encode()), _bits(value.encode())], [B, I]))
+    out.append(put([_bits((key + sep + value).encode())], [B]))
+    plain = "".join(rng.choices(string.ascii_lowercase, k=rng.randint(2, 9)))
+    out.append(put([_bits(key.encode()), _bits(plain.encode())], [O, O]))
     return out
 
 
-def fit_field(pairs: list[tuple[str, bool]], length: int = 13, steps: int = 150, rate: float = 0.15, decay: float = 2e-4, seed: int = 42) -> Field:
-    """Maximum likelihood of the tags of the windows, by Adam with forward-backward."""
-    if not any(marked for _, marked in pairs):
+def fit_field(found: list[tuple[int, list[int], list[int], list[float]]], steps: int = 100, rate: float = 0.15, decay: float = 2e-4, seed: int = 42) -> Field:
+    """Maximum likelihood of the tags of windows (kind, shapes, tags, file), by
+    Adam with forward-backward. Scores and gradients go by distinct shapes."""
+    if not any(kind == NEAR for kind, *_ in found):
         return Field.outside()
-    xs, y, fs = windows(pairs, length, seed)
-    x, f = _design(xs, length), np.array(fs, np.float32)
-    n = len(xs)
-    zero = np.zeros((n, 1, SHAPE), np.float32)
-    full = np.concatenate([x, np.concatenate([zero, x[:, :-1]], 1), np.concatenate([x[:, 1:], zero], 1), np.repeat(f[:, None, :], length, 1)], 2)
-    flat = full.reshape(n * length, -1)
-    w, m = np.zeros((flat.shape[1], 3)), np.zeros((3, 3))
+    rng, xs, ys, fs = random.Random(seed), [], [], []
+    for _, x, y, f in found:
+        for a, b in [(x, y), *variants(x, y, rng)]:
+            xs.append(a)
+            ys.append(b)
+            fs.append(f)
+    y, f, n = np.array(ys, np.int64), np.array(fs, np.float64), len(xs)
+    kinds, at = np.unique(np.array(xs, np.int64), return_inverse=True)
+    at = at.reshape(n, LENGTH)
+    table = (kinds[:, None] >> np.arange(SHAPE) & 1).astype(np.float64)
+    # where a word's shape counts: for itself, for the word after it, for the word before it
+    places = ((slice(None), slice(None)), (slice(None), slice(1, None)), (slice(None), slice(None, -1)))
+    sources = (at, at[:, :-1], at[:, 1:])
+    w = [np.zeros((SHAPE, 3)) for _ in range(3)] + [np.zeros((FILE, 3)), np.zeros((3, 3))]
     gold, pair_gold = np.eye(3)[y], np.zeros((3, 3))
     np.add.at(pair_gold, (y[:, :-1].ravel(), y[:, 1:].ravel()), 1)
-    moment = [np.zeros_like(w), np.zeros_like(w), np.zeros_like(m), np.zeros_like(m)]
+    ones = np.ones((3, 1))  # sums over three tags
+    first, second = [np.zeros_like(v) for v in w], [np.zeros_like(v) for v in w]
     for step in range(1, steps + 1):
-        e = (flat @ w.astype(np.float32)).reshape(n, length, 3).astype(np.float64)
-        alpha, beta = np.zeros_like(e), np.zeros_like(e)
-        alpha[:, 0] = e[:, 0]
-        for k in range(1, length):
-            alpha[:, k] = np.logaddexp.reduce(alpha[:, k - 1, :, None] + m, axis=1) + e[:, k]
-        for k in range(length - 2, -1, -1):
-            beta[:, k] = np.logaddexp.reduce(m + (e[:, k + 1] + beta[:, k + 1])[:, None, :], axis=2)
-        z = np.logaddexp.reduce(alpha[:, -1], axis=1)
-        p = np.exp(alpha + beta - z[:, None, None])
-        pairs_p = np.exp(alpha[:, :-1, :, None] + m + (e[:, 1:] + beta[:, 1:])[:, :, None, :] - z[:, None, None, None]).sum((0, 1))
-        gw = flat.T @ (gold - p).reshape(n * length, 3).astype(np.float32) / n - decay * w
-        gm = (pair_gold - pairs_p) / n - decay * m
-        for k, (g, v) in enumerate(((gw, w), (gm, m))):
-            moment[2 * k] = 0.9 * moment[2 * k] + 0.1 * g
-            moment[2 * k + 1] = 0.99 * moment[2 * k + 1] + 0.01 * g * g
-            v += rate * (moment[2 * k] / (1 - 0.9**step)) / (np.sqrt(moment[2 * k + 1] / (1 - 0.99**step)) + 1e-8)
-    return Field(w[:SHAPE], w[SHAPE : 2 * SHAPE], w[2 * SHAPE : 3 * SHAPE], w[3 * SHAPE :], m)
-
-
-def fit(docs: DataFrame, text_col: str = "text", max_docs: int = 1500, max_chars: int = 20_000, **options) -> Field:
-    """Fit on at most ``max_docs`` texts with a pattern and as many without, of
-    at most ``max_chars`` characters each (longer ones are not fitted on)."""
-    text = F.col(f"`{text_col}`")
-    short = docs.select(text.alias("text")).filter(F.length("text").between(1, max_chars))
-    keyed = short.select(F.xxhash64("text").alias("h"), F.col("text").rlike(r"(?i)(password|passwd|secret|token|api_?key)[\"']? *[:=]|AKIA[A-Z0-9]{16}|[0-9a-f]{24}").alias("marked"))
-    keyed = materialize(keyed, "secret-keys")
+        e = np.repeat((f @ w[3])[:, None], LENGTH, 1)
+        for place, source, own in zip(places, sources, w):
+            e[place] += (table @ own)[source]
+        psi, moves = np.exp(e - e.max(2, keepdims=True)), np.exp(w[4])
+        alpha, beta = np.empty_like(psi), np.ones_like(psi)
+        alpha[:, 0] = psi[:, 0] / (psi[:, 0] @ ones)
+        for k in range(1, LENGTH):
+            a = (alpha[:, k - 1] @ moves) * psi[:, k]
+            alpha[:, k] = a / (a @ ones)
+        pairs = np.zeros((3, 3))
+        for k in range(LENGTH - 2, -1, -1):
+            ahead = psi[:, k + 1] * beta[:, k + 1]
+            b = ahead @ moves.T
+            norm = (alpha[:, k] * b) @ ones
+            pairs += alpha[:, k].T @ (ahead / norm) * moves
+            beta[:, k] = b / (b @ ones)
+        p = alpha * beta
+        p /= p @ ones
+        off = (gold - p) / n
+        grads = []
+        for place, source in zip(places, sources):
+            d, s = off[place].reshape(-1, 3), source.ravel()
+            grads.append(table.T @ np.stack([np.bincount(s, d[:, t], len(kinds)) for t in range(3)], 1))
+        grads += [f.T @ off.sum(1), (pair_gold - pairs) / n]
+        for k, (g, v) in enumerate(zip(grads, w)):
+            g = g - decay * v
+            first[k] = 0.9 * first[k] + 0.1 * g
+            second[k] = 0.99 * second[k] + 0.01 * g * g
+            v += rate * (first[k] / (1 - 0.9**step)) / (np.sqrt(second[k] / (1 - 0.99**step)) + 1e-8)
+    return Field(*w)
+
+
+def likely_marked(text: Column) -> Column:
+    """A cheap test by which the sample finds texts with a pattern. It need not be
+    exact: tags come from the patterns themselves."""
+    key = r"[:=](?<=(?i:password|passwd|secret|token|apikey|api_key)[\"']{0,1} {0,3}[:=])"
+    return text.contains("AKIA") | text.rlike(key) | text.rlike("[0-9a-f]{24}")
+
+
+def fit(docs: DataFrame, text_col: str = "text", max_docs: int = 1500, max_windows: int = 2500, **options) -> Field:
+    """Fit on windows of at most ``max_docs`` texts with a pattern and as many
+    without, at most ``max_windows`` of a kind (see the module's text)."""
+    some = docs.select(F.col(f"`{text_col}`").alias("text")).filter("length(text) > 0")
+    keyed = materialize(some.select(F.xxhash64("text").alias("h"), likely_marked(F.col("text")).alias("marked")), "secret-keys")
     pick = [keyed.filter(F.col("marked") == flag).select("h").distinct().orderBy("h").limit(max_docs) for flag in (True, False)]
-    # a top-k of hashes bounds what is broadcast, and one text a hash what is collected
+    # a top-k of hashes bounds what is broadcast
     hashes = materialize(pick[0].unionByName(pick[1]).withColumnRenamed("h", "own"), "secret-sample")
-    got = short.withColumn("h", F.xxhash64("text")).join(F.broadcast(hashes), F.col("h") == F.col("own")).groupBy("h").agg(F.min("text").alias("text"))
-    rows = sorted((h, t) for h, t in got.collect())
-    return fit_field([(t, bool(base_spans(t))) for _, t in rows], **options)
+    got = some.withColumn("h", F.xxhash64("text")).join(F.broadcast(hashes), F.col("h") == F.col("own")).groupBy("h").agg(F.min("text").alias("text"))
+
+    def run(batches):
+        for batch in batches:
+            for part in texts(batch.column("text")):
+                for t in part:
+                    rows = windows_of(t)
+                    for i in range(0, len(rows), 4096):
+                        yield pa.RecordBatch.from_pylist(rows[i : i + 4096], WINDOW)
+
+    found = materialize(got.select("text").repartition(WINDOW_TASKS).mapInArrow(run, "kind int, h long, shapes array<long>, tags array<int>, file array<double>"), "secret-windows")
+    rows = []
+    for kind in (NEAR, ALIKE, ANY):
+        rows += found.filter(F.col("kind") == kind).orderBy("h", "shapes", "tags", "file").limit(max_windows).collect()
+    return fit_field([(r["kind"], r["shapes"], r["tags"], r["file"]) for r in rows], **options)
 
 
 # ---------------------------------------------------------------- columns

@@ -37,7 +37,7 @@ def prose(rng, n):
 @pytest.fixture(scope="module")
 def field():
     rng = random.Random(2)
-    pairs = []
+    found = []
     for i in range(160):
         text = prose(rng, 60)
         if i % 4 == 0:
@@ -45,8 +45,8 @@ def field():
             text = f"{text} token = \"{secret}\" {prose(rng, 30)}"
         elif i % 4 == 1:
             text += f" me.{i}@mail{i}.example.com 10.0.{i}.7 {rng.randrange(10**15)} " + prose(rng, 9)
-        pairs.append((text, bool(sc.base_spans(text))))
-    return sc.fit_field(pairs, steps=120)
+        found += [tuple(w[c] for c in ("kind", "shapes", "tags", "file")) for w in sc.windows_of(text)]
+    return sc.fit_field(found)
 
 
 def test_viterbi_equals_all_paths():
@@ -76,6 +76,54 @@ def test_field_adds_shapes_and_leaves_prose_alone(field):
     assert sum(bool(sc.find(prose(rng, 200), tagger)) for _ in range(50)) <= 1
 
 
+def test_windows_cover_all_marked_words_of_any_text():
+    text = prose(random.Random(9), 30_000) + " " + " ".join(f"token = {'ab12' * 10} plain" for _ in range(50))
+    rows = sc.windows_of(text)
+    words, tags = sc._tags_of(text, sc.base_spans(text))
+    assert sum(r["kind"] == sc.NEAR for r in rows) == tags.count(sc.B) == 50
+    assert all(len(r["shapes"]) == len(r["tags"]) == sc.LENGTH and (r["kind"] != sc.NEAR or sc.B in r["tags"]) for r in rows)
+    assert sc.windows_of("") == [] and sc.windows_of(" \n") == [] and len(sc.windows_of("one")) == 1
+
+
+def test_overlaps_equal_all_pairs():
+    rng = random.Random(10)
+    for _ in range(300):
+        spans = sorted((a, rng.randrange(3), a + rng.randint(1, 6)) for a in (rng.randrange(60) for _ in range(rng.randrange(8))))
+        own = sorted({(a, a + 2) for a in range(rng.randrange(3), 60, 3) if rng.random() < 0.7})
+        want = [(a, b) for a, b in own if not any(a < y and x < b for x, _, y in spans)]
+        assert sc.apart(own, sc.joined(spans)) == want
+
+
+def test_many_spans_take_linear_time(field):
+    import time
+
+    tagger, took = sc.Tagger(field), {}
+    for n in (4000, 32_000):
+        text = " ".join("0123456789abcdef" * 2 + f" Xy9{i}kLm0pQ7" for i in range(n))
+        began = time.perf_counter()
+        assert sum(k == 2 for _, k, _ in sc.find(text, tagger)) == n
+        took[n] = time.perf_counter() - began
+    assert took[32_000] < 8 * 4 * took[4000] + 0.5
+
+
+def test_gradients_fit_the_tags():
+    """The fitted field's tags are those of the windows it was fitted to."""
+    rng = random.Random(12)
+    rows = []
+    for i in range(60):
+        text = prose(rng, 20) + f" password: {sc._other_secret(rng)} " + prose(rng, 20) + f" order {rng.randrange(10**6)} " + prose(rng, 10)
+        rows += [tuple(w[c] for c in ("kind", "shapes", "tags", "file")) for w in sc.windows_of(text)]
+    field, hits = sc.fit_field(rows), 0
+    for _, x, y, f in rows:
+        table = np.array([[b >> k & 1 for k in range(sc.SHAPE)] for b in x], float)
+        e = table @ field.own + np.array(f) @ field.file
+        e[1:] += (table @ field.before)[:-1]
+        e[:-1] += (table @ field.after)[1:]
+        hits += sc.viterbi(e, field.moves) == y
+    assert hits >= 0.95 * len(rows)
+    assert sc.fit_field([r for r in rows if r[0] != sc.NEAR]).own[0, sc.O] == 100
+
+
 def test_spans_and_redaction(spark, field):
     rows = [(i, t) for i, t in enumerate(TEXTS)] + [(90, None), (91, TEXTS[5]), (None, TEXTS[5]), (92, prose(random.Random(6), 40_000) + " " + TEXTS[5])]
     d = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "length(text) AS n_chars", "1 AS redacted", "2 AS spans")
