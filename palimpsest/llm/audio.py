@@ -260,9 +260,25 @@ def digest_column(media: Column, mel: Column, n_bytes: Column) -> Column:
     return run.asNondeterministic()(media, mel, n_bytes)
 
 
+def stored_column(text: Column) -> Column:
+    """Struct (media, mel) of each text: its WAV file, and the stream of the patches
+    found in that file. One pass makes both, so that a task has one worker for them."""
+
+    @F.arrow_udf("media binary, mel binary")
+    def run(col: pa.Array) -> pa.Array:
+        media, mel = [], []
+        for part in texts(col):
+            for t in part:
+                media.append(write_wav(payload_of(t)))
+                mel.append(to_ipc(features(media[-1])))
+        return pa.StructArray.from_arrays([pa.array(media, pa.binary()), pa.array(mel, pa.binary())], names=["media", "mel"])
+
+    return run.asNondeterministic()(text)
+
+
 def audio_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, media, mel, n_bytes) of every row of ``docs``: the WAV file and the
     stream of its tensors and time spans."""
     text = F.col(f"`{text_col}`")
-    out = docs.select(F.col(f"`{id_col}`").alias("doc_id"), media_column(text).alias("media"), F.coalesce(F.octet_length(text), F.lit(0)).cast("long").alias("n_bytes"))
-    return out.select("doc_id", "media", tensor_column(F.col("media")).alias("mel"), "n_bytes")
+    out = docs.select(F.col(f"`{id_col}`").alias("doc_id"), stored_column(text).alias("x"), F.coalesce(F.octet_length(text), F.lit(0)).cast("long").alias("n_bytes"))
+    return out.select("doc_id", "x.media", "x.mel", "n_bytes")
