@@ -276,6 +276,23 @@ def stored_column(text: Column) -> Column:
     return run.asNondeterministic()(text)
 
 
+def stored_digest_column(text: Column) -> Column:
+    """Struct of DIGEST of each text: its two stored forms are written, read back and
+    digested a text at a time, and only the digest leaves the task. The forms
+    themselves are those of ``stored_column``."""
+
+    @F.arrow_udf("n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    def run(col: pa.Array) -> pa.Array:
+        rows = []
+        for part in texts(col):
+            for t in part:
+                media = write_wav(payload_of(t))
+                rows.append(digest(media, to_ipc(features(media)), len((t or "").encode("utf-8", "surrogatepass"))))
+        return pa.array(rows, DIGEST)
+
+    return run.asNondeterministic()(text)
+
+
 def audio_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, media, mel, n_bytes) of every row of ``docs``: the WAV file and the
     stream of its tensors and time spans."""

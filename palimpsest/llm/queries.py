@@ -31,8 +31,8 @@ def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
-    media = audio.audio_documents(table(spark, sf_dir, "documents"))
-    return media.select("doc_id", audio.digest_column(F.col("media"), F.col("mel"), F.col("n_bytes")).alias("x")).select("doc_id", "x.*")
+    docs = table(spark, sf_dir, "documents")
+    return docs.select("doc_id", audio.stored_digest_column(F.col("text")).alias("x")).select("doc_id", "x.*")
 
 
 def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
