@@ -190,20 +190,18 @@ def join_components(edges: DataFrame, label: str = "components") -> DataFrame:
     """(node, root) for each node of edges (a, b), root its component's smallest.
 
     Alternates large-star and small-star steps: aggregations with partial sums
-    and joins that adaptive execution splits, so a star with a third of all
-    edges stays spread. The number of steps grows with the log of the longest path."""
+    and salted joins, so a star with a third of all edges stays spread. The
+    number of steps grows with the log of the longest path."""
     edges = edges.filter(F.col("a") != F.col("b")).select("a", "b")
     last = None
     while True:
         # large-star: each larger neighbour of u is linked to the least of u's neighbourhood
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("u"), F.least("a", "m").alias("m"))
-        large = both.filter("b > a").join(least, F.col("a") == F.col("u")).select(F.col("b").alias("a"), F.col("m").alias("b"))
+        large = least_of_group(both, "a", "b", "b", "m").filter("b > a").select(F.col("b").alias("a"), F.least("a", "m").alias("b"))
         large = materialize(large.filter("a <> b").distinct(), label)
         # small-star: u and its smaller neighbours are linked to the least of them
-        least = large.groupBy("a").agg(F.min("b").alias("m")).withColumnRenamed("a", "u")
-        small = large.join(least, F.col("a") == F.col("u")).select(F.col("b").alias("a"), F.col("m").alias("b"))
-        small = small.filter("a <> b").unionByName(least.select(F.col("u").alias("a"), F.col("m").alias("b"))).distinct()
+        small = least_of_group(large, "a", "b", "b", "m").select(F.explode(F.array(*[F.struct(F.col(c).alias("a"), F.col("m").alias("b")) for c in "ab"])).alias("x"))
+        small = small.select("x.a", "x.b").filter("a <> b").distinct()
         edges = materialize(small, label)
         state = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.countDistinct("a")).first()
         if state == last or state[0] == 0:
