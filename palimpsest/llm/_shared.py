@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import os
 import tempfile
 import zipfile
@@ -17,6 +19,9 @@ from palimpsest.sources.files import fresh_folder, shared_folder  # noqa: F401
 #: A word of the corpus contracts: a run of anything but space and \t \n \v \f \r.
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 
+#: Most bytes of an Arrow batch but for its last row, of any length: with the usual
+#: bound by rows alone, long texts would set how much a task holds.
+BATCH_BYTES = 4 << 20
 #: Texts that are Python objects at a time inside one Arrow batch.
 SLICE_ROWS = 64
 
@@ -51,6 +56,26 @@ def texts(batch: pa.Array) -> Iterator[list[str | None]]:
         yield batch.slice(start, SLICE_ROWS).to_pylist()
 
 
+#: What this worker keeps between tasks: a key, and the model loaded under it.
+_held: list = [None, None]
+
+
+def held(key, make: Callable | None = None):
+    """The model of ``key``, loaded once and kept until tasks of another key run in
+    this worker. Then it goes with its memos, and its memory returns to the system:
+    workers outlive their stages, and one that kept every operator's model would
+    hold them all. ``make`` None: an operator without a model."""
+    if _held[0] != key:
+        _held[:] = [None, None]
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim:
+            trim(0)
+        _held[:] = [key, make() if make else None]
+    return _held[1]
+
+
 def text_udf(per_text: Callable, schema: str, arrow_type: pa.StructType) -> Callable[..., Column]:
     """A scalar Arrow UDF of one text column that returns a struct.
 
@@ -65,8 +90,20 @@ def text_udf(per_text: Callable, schema: str, arrow_type: pa.StructType) -> Call
     return run.asNondeterministic()
 
 
+def _bytes(size: str) -> int:
+    """A Spark size setting in bytes: a number with a unit such as k or mb, or none."""
+    digits = size.strip().lower().rstrip("bkmgtp")
+    unit = size.strip().lower()[len(digits) :].rstrip("b")
+    return int(digits) << 10 * (" kmgtp".index(unit) if unit else 0)
+
+
 def ship(spark: SparkSession) -> None:
-    """Give executors this package through Spark's own file server, once a context."""
+    """Give executors this package through Spark's own file server, once a context,
+    and bound the bytes of the session's Arrow batches by BATCH_BYTES."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = _bytes(spark.conf.get(name))
+    if not 0 < now <= BATCH_BYTES:
+        spark.conf.set(name, str(BATCH_BYTES))
     context, root = spark.sparkContext, Path(__file__).resolve().parent.parent
     if getattr(context, "_palimpsest_shipped", False):
         return

@@ -42,23 +42,6 @@ class Memo:
             self.young[key] = value
         return value
 
-    def clear(self) -> None:
-        self.young, self.old = {}, {}
-
-
-_holder: list = [None]
-
-
-def claim(owner):
-    """Give the worker's memory to one operator: of the one that ran here before,
-    the memos are emptied. ``owner.memos()`` lists them."""
-    if _holder[0] is not owner:
-        if _holder[0] is not None:
-            for memo in _holder[0].memos():
-                memo.clear()
-        _holder[0] = owner
-    return owner
-
 
 class Merges:
     """A merge vocabulary: symbols, and the rank of the merge that makes each.

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm._shared import materialize, texts
+from palimpsest.llm._shared import held, materialize, texts
 from palimpsest.llm.quality import SPACES, repeated_words, word_ids
 
 UPPER, LOWER, DIGIT = bytes(range(65, 91)), bytes(range(97, 123)), bytes(range(48, 58))
@@ -71,6 +71,7 @@ def statistics_column(text: Column) -> Column:
 
     @F.arrow_udf(", ".join(f"{s} double" for s in STATISTICS))
     def run(col: pa.Array) -> pa.Array:
+        held("statistics")
         rows = [statistics(t or "") for part in texts(col) for t in part]
         table = np.array(rows, np.float64).reshape(len(rows), len(STATISTICS))
         return pa.StructArray.from_arrays([pa.array(np.ascontiguousarray(table[:, i])) for i in range(len(STATISTICS))], names=list(STATISTICS))

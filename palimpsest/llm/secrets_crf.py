@@ -43,8 +43,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm._shared import fresh_name, materialize, texts
-from palimpsest.llm.bpe import Memo, claim
+from palimpsest.llm._shared import fresh_name, held, materialize, texts
+from palimpsest.llm.bpe import Memo
 
 #: Fixed values of the contract.
 ASSIGN = re.compile(r"""(?ai:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
@@ -194,9 +194,6 @@ class Tagger:
         self.lead = 2 * float(m.max() - m.min()) + 1e-9
         self.rows: dict[tuple, int] = {}
 
-    def memos(self) -> list[Memo]:
-        return [self.memo]
-
     def _contributions(self, word: bytes) -> int:
         key = shape(word)
         row = self.by_shape.get(key)
@@ -491,16 +488,10 @@ def fit(docs: DataFrame, text_col: str = "text", max_docs: int = 1500, max_windo
 # ---------------------------------------------------------------- columns
 
 RESULT = pa.struct([("n_assign", pa.int64()), ("n_access", pa.int64()), ("n_hex", pa.int64()), ("base_sha256", pa.string()), ("spans", pa.string())])
-_taggers: dict[bytes, Tagger] = {}
-
-
 def _tagger(model: Field) -> Tagger:
     """One tagger a worker and model, so that its memo lives across tasks."""
     key = hashlib.sha256(b"".join(np.ascontiguousarray(a).tobytes() for a in (model.own, model.before, model.after, model.file, model.moves))).digest()
-    if key not in _taggers:
-        _taggers.clear()
-        _taggers[key] = Tagger(model)
-    return claim(_taggers[key])
+    return held(("secrets", key), lambda: Tagger(model))
 
 
 def scan_column(text: Column, model: Field) -> Column:

@@ -22,15 +22,15 @@ from __future__ import annotations
 
 import re
 from array import array
-from functools import lru_cache
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm._shared import texts
-from palimpsest.llm.bpe import PAIR_BITS, Memo, Merges, automaton, best_pieces, claim, last_pieces, trace
+from palimpsest.llm._shared import held, texts
+from palimpsest.llm.bpe import PAIR_BITS, Memo, Merges, automaton, best_pieces, last_pieces, trace
 
 MARK = "▁"
 #: Latin letters: vocabularies seldom join them with anything else, which is tested on loading.
@@ -181,9 +181,6 @@ class Codec:
     def decode(self, ids: list[int] | None) -> str:
         return self.decode_array(np.array(ids or [], np.int32))
 
-    def memos(self) -> list[Memo]:
-        return [self.memo, *([self.merges._apart] if self.is_bpe else [])]
-
     def _spell(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(start, length, bytes) of what each id decodes to."""
         out = []
@@ -198,15 +195,9 @@ class Codec:
         return np.cumsum(lens) - lens, lens, np.frombuffer(b"".join(out), np.uint8)
 
 
-@lru_cache(maxsize=2)
-def _load(path: str) -> Codec:
-    with open(path, "rb") as f:
-        return Codec(f.read())
-
-
 def codec(path: str) -> Codec:
     """The codec of a model file, loaded once a worker."""
-    return claim(_load(path))
+    return held(("sentencepiece", path), lambda: Codec(Path(path).read_bytes()))
 
 
 def _lists(arrays: list[np.ndarray]) -> pa.Array:

@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from palimpsest.llm._shared import fresh_name, materialize, texts
+from palimpsest.llm._shared import fresh_name, held, materialize, texts
 
 BITS = 64
 #: Most bits that a mask of the first and one of the second family leave free.
@@ -76,6 +76,7 @@ def fingerprint_column(text: Column, width: int = 4, seed: int = 42) -> Column:
 
     @F.arrow_udf("long")
     def run(col: pa.Array) -> pa.Array:
+        held("fingerprints")
         found = [fingerprint(t, width, seed) for part in texts(col) for t in part]
         return pa.array(np.array(found, np.uint64).view(np.int64))
 

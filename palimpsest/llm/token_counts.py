@@ -26,7 +26,6 @@ import json
 import re
 import unicodedata
 from bisect import bisect_left, bisect_right
-from functools import lru_cache
 
 import ahocorasick
 import numpy as np
@@ -35,8 +34,8 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm._shared import texts
-from palimpsest.llm.bpe import Memo, Merges, claim, prefix_counts
+from palimpsest.llm._shared import held, texts
+from palimpsest.llm.bpe import Memo, Merges, prefix_counts
 
 
 def byte_letters() -> list[str]:
@@ -211,9 +210,6 @@ class Counter:
             total += sum(found)
         return total
 
-    def memos(self) -> list[Memo]:
-        return [self.memo, self.tables, self.merges._apart]
-
     def prefixes(self, text: str | None) -> PrefixCounts:
         return PrefixCounts(self, text or "")
 
@@ -357,12 +353,9 @@ class PrefixCounts:
         return np.concatenate(out)
 
 
-_load = lru_cache(maxsize=2)(Counter)
-
-
 def counter(path: str) -> Counter:
     """The counter of a tokenizer file, loaded once a worker."""
-    return claim(_load(path))
+    return held(("token counts", path), lambda: Counter(path))
 
 
 def token_counts_column(text: Column, path: str, limit: int) -> Column:
