@@ -91,7 +91,7 @@ def text_udf(per_text: Callable, schema: str, arrow_type: pa.StructType) -> Call
 
 
 def _bytes(size: str) -> int:
-    """A Spark size setting in bytes: a number with a unit such as k or mb, or none."""
+    """A Spark size setting in bytes: a number with a unit such as k or mb, or none (bytes)."""
     digits = size.strip().lower().rstrip("bkmgtp")
     unit = size.strip().lower()[len(digits) :].rstrip("b")
     return int(digits) << 10 * (" kmgtp".index(unit) if unit else 0)
@@ -101,8 +101,7 @@ def ship(spark: SparkSession) -> None:
     """Give executors this package through Spark's own file server, once a context,
     and bound the bytes of the session's Arrow batches by BATCH_BYTES."""
     name = "spark.sql.execution.arrow.maxBytesPerBatch"
-    now = _bytes(spark.conf.get(name))
-    if not 0 < now <= BATCH_BYTES:
+    if _bytes(spark.conf.get(name)) > BATCH_BYTES:
         spark.conf.set(name, str(BATCH_BYTES))
     context, root = spark.sparkContext, Path(__file__).resolve().parent.parent
     if getattr(context, "_palimpsest_shipped", False):

@@ -7,7 +7,8 @@ import pytest
 import __spark_entry__ as entry
 import corpus_pipeline
 from palimpsest.llm import simhash
-from palimpsest.llm._shared import materialize
+from palimpsest.llm._shared import BATCH_BYTES, held, materialize, ship
+from palimpsest.llm._shared import _bytes as size_in_bytes
 
 
 @pytest.fixture(scope="module")
@@ -67,6 +68,13 @@ def test_stages(spark, tables):
     assert sorted(map(str, again.collect())) == sorted(map(str, encoded))
 
 
+def test_empty_tables(spark, tables, tmp_path):
+    for name in ("documents", "labels", "pages"):
+        spark.read.parquet(f"{tables[0]}/{name}.parquet").limit(0).write.parquet(f"file://{tmp_path}/{name}.parquet")
+    out = corpus_pipeline.run(spark, str(tmp_path))
+    assert out.collect() == [] and out.columns == ["doc_id", "lang", "source", "n_tokens", "ids", "round_trip"]
+
+
 @pytest.mark.parametrize("name", sorted(n for n in entry.queries() if n.startswith("op")))
 def test_queries_return_a_row_a_record(spark, tables, name):
     folder, rows, _ = tables
@@ -78,3 +86,19 @@ def test_queries_return_a_row_a_record(spark, tables, name):
 def test_entry_names_them_all():
     found = [n for n in entry.queries() if n.startswith("op") or n == "pipeline"]
     assert len(found) == 11 and "pipeline" in found
+
+
+def test_one_model_a_worker():
+    made = []
+    load = lambda name: lambda: made.append(name) or name
+    assert [held(k, load(k)) for k in "aabba"] == list("aabba") and made == ["a", "b", "a"]
+    assert held("none") is None and held("a", load("a")) == "a" and made == ["a", "b", "a", "a"]
+
+
+def test_batches_are_bounded_by_bytes(spark):
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    for before, after in (("64MB", BATCH_BYTES), ("1m", 1 << 20)):
+        spark.conf.set(name, before)
+        ship(spark)
+        assert size_in_bytes(spark.conf.get(name)) == after
+    spark.conf.unset(name)

@@ -1,5 +1,8 @@
+import math
 import random
+import statistics
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -66,3 +69,57 @@ def test_labels_of_one_kind_and_none(spark):
     assert re_.fit_rules(np.zeros((9, 24)), np.ones(9)).score(np.zeros((1, 24)))[0] == pytest.approx(10 / 11)
     none, lab = spark.createDataFrame([], "doc_id long, text string"), spark.createDataFrame([], "doc_id long, quality int")
     assert re_.classify(none, lab).count() == 0
+
+
+def plain(text):
+    """The statistics by their names, one loop each."""
+    raw = text.encode()
+    words = [w for w in re_words(text)]
+    if not words:
+        return dict.fromkeys(re_.STATISTICS, 0.0)
+    n, lens = len(words), [len(w) for w in words]
+    chars = sum(lens)
+    inside = [b for w in words for b in w]
+    of = lambda test: sum(map(test, inside)) / chars
+    upper, lower, digit = lambda b: 65 <= b <= 90, lambda b: 97 <= b <= 122, lambda b: 48 <= b <= 57
+    mark = lambda b: 33 <= b <= 126 and not (upper(b) or lower(b) or digit(b))
+    count = Counter(words)
+    most = sorted(count.values(), reverse=True)
+    windows = Counter(tuple(words[i : i + 3]) for i in range(n - 2))
+    repeated = {i + k for i in range(n - 2) if windows[tuple(words[i : i + 3])] > 1 for k in range(3)}
+    lines = [x for x in text.split("\n") if re_words(x)]
+    letter = lambda b: upper(b) or lower(b) or b >= 128
+    # control bytes inside words are neither letter, digit nor mark: "high" holds them too
+    return {
+        "log_words": math.log(1 + n), "mean_word": chars / n, "sd_word": statistics.pstdev(lens), "longest_word": max(lens),
+        "upper_share": of(upper), "lower_share": of(lower), "digit_share": of(digit), "mark_share": of(mark),
+        "symbol_share": of(lambda b: chr(b) in "#*$%&|<>{}[]\\^~_=+@"), "high_share": of(lambda b: not (upper(b) or lower(b) or digit(b) or mark(b))),
+        "pipe_share": raw.count(b"|") / n, "bang_share": raw.count(b"!") / n,
+        "marked_words": sum(not (letter(w[-1]) or w[-1] in b".,") for w in words) / n, "short_words": sum(k <= 2 for k in lens) / n,
+        "distinct_share": len(count) / n, "top_share": most[0] / n, "top5_share": sum(most[:5]) / n, "repeat_share": len(repeated) / n,
+        "stutter_share": sum(a == b for a, b in zip(words, words[1:])) / n, "dup_line_share": sum(x in lines[:i] for i, x in enumerate(lines)) / len(lines),
+        "log_lines": math.log(1 + len(lines)), "mean_line": n / len(lines), "stop_share": sum(w[-1] == 46 for w in words) / n,
+        "capital_words": sum(upper(w[0]) for w in words) / n,
+    }
+
+
+def re_words(text):
+    out, word = [], []
+    for c in text + " ":
+        if c in " \t\n\v\f\r":
+            if word:
+                out.append("".join(word).encode())
+            word = []
+        else:
+            word.append(c)
+    return out
+
+
+@pytest.mark.parametrize("seed", range(40))
+def test_statistics_equal_their_definitions(seed):
+    rng = random.Random(seed)
+    pool = ["a", "The", "the", "of.", "naïve", "x1", "###", "|", "end!", "\u00a0", "ÄB", "日本。", "a\x1cb", "{k}=1", "Stop."][: rng.randint(2, 15)]
+    text = "".join(rng.choice(pool) + rng.choice([" ", " ", "\t", "\n", "  ", "\r\n", "\n\n"]) for _ in range(rng.choice([0, 1, 3, 4, 60, 400])))
+    got = dict(zip(re_.STATISTICS, re_.statistics(text), strict=True))
+    for name, value in plain(text).items():
+        assert got[name] == pytest.approx(value, abs=1e-12), name
