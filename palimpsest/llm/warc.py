@@ -315,7 +315,7 @@ def write(pages: DataFrame, folder: str | None = None, id_col: str = "page_id",
     records = captures.count()
     shards = max(1, min(captures.rdd.getNumPartitions(), -(-records // SHARD_ROWS) * 8))
     # ranges over key and id split the captures of one URL too
-    dealt = captures.repartitionByRange(shards, "url_key", "page_id").sortWithinPartitions("url_key", "page_id")
+    dealt = captures.repartitionByRange(shards, "url_key", "page_id").sortWithinPartitions("url_key", "page_id", "file", "offset")
     made = materialize(dealt.mapInArrow(_write_index(folder, block_lines), "first_key string, first_id long, name string, rows long"), "warc-shards")
     # one row a shard of SHARD_ROWS / 8 captures or more
     index = CaptureIndex(folder, [(r["first_key"], r["first_id"], r["name"]) for r in made.collect()])
